@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.names import key, lang, plain
-from millrace.llm import leakage, mixing, pieces, tokens
+from millrace.functions.names import MISSING_WORDS, key, lang
+from millrace.llm import leakage, mixing, pieces, sampling, splits, tokens
 from millrace.sources.tables import table
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "data_config"), plain(F.col("source")), F.col("n_chars"), F.col("doc_id"))
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "data_config"), key(F.col("source")), F.col("n_chars"), F.col("doc_id"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,8 +29,28 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).plan
 
 
+def _split(spark: SparkSession, d: str) -> splits.Split:
+    ties = [key(F.col("group_key")), key(F.col("spec_id"))]
+    return splits.split_records(table(spark, d, "outputs"), table(spark, d, "split_targets"), F.col("output_id"), ties, key(F.col("category")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs that are tied to others, with the least id of all that are."""
+    return _split(spark, d).records.where("entity_size > 1").select(F.col("record_id").alias("output_id"), "entity_id")
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every output."""
+    return _split(spark, d).records.select(F.col("record_id").alias("output_id"), "entity_id", "entity_size", F.col("label").alias("category"), "split_name")
+
+
+def p2_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Fractions of every category in the splits."""
+    return _split(spark, d).report
+
+
 def _totals(spark: SparkSession, d: str) -> DataFrame:
-    slices = {"source": plain(F.col("source")), "lang": lang(F.col("lang")), "domain": plain(F.col("domain"))}
+    slices = {"source": key(F.col("source")), "lang": lang(F.col("lang")), "domain": key(F.col("domain"))}
     return tokens.token_totals(table(spark, d, "documents"), slices)
 
 
@@ -44,6 +64,26 @@ def p3_budget_cover(spark: SparkSession, d: str) -> DataFrame:
     return tokens.budget_cover(_totals(spark, d), table(spark, d, "data_config"))
 
 
+def _sample(spark: SparkSession, d: str) -> sampling.Sample:
+    cell = {n: key(F.col(n)) for n in ("category", "domain", "subtype")}
+    return sampling.sample_cells(table(spark, d, "requests"), table(spark, d, "sample_targets"), F.col("id"), cell, F.col("loaded_utc"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of plans that cannot be filled."""
+    return _sample(spark, d).report.where("short").select("plan_id", "category", "domain", "subtype")
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The requests that each plan draws."""
+    return _sample(spark, d).records.withColumnRenamed("record_id", "id")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each cell was asked for and has."""
+    return _sample(spark, d).report
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of evaluation items."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -65,10 +105,12 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p3_token_totals, p3_budget_cover, p7_found, p7_items, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_budget_cover, p5_found, p5_sample, p5_report, p7_found, p7_items, p8_found, p8_pieces)}
 
 
+MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)
 PLAIN = "regexp_replace(lower(trim({0})), '[\\s_-]+', '_', 'g')"
+KEY = f"(case when {PLAIN} not in ({MISSING}) then {PLAIN} end)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -78,6 +120,17 @@ with s as (select {PLAIN.format('source')} k, sum(n_chars) n from documents grou
 c as (select *, sum(budget_tokens) over (partition by config_id) b from data_config)
 select config_id, source_key from c left join s on s.k = c.source_key
 where budget_tokens::double / b * mix_ratio * (select sum(n_chars) from documents) > xlam_epochs * coalesce(s.n, 0)""",
+        "p2_found": f"""
+with recursive o as (select output_id, {KEY.format('group_key')} g, {KEY.format('spec_id')} s from outputs),
+k as (select distinct output_id, 'g' || g k from o where g is not null union select distinct output_id, 's' || s from o where s is not null),
+e as (select distinct x.output_id a, y.output_id b from k x join k y using (k)),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select a output_id, min(b) entity_id from r group by a having count(*) > 1""",
+        "p5_found": f"""
+with r as (select id, max({KEY.format('category')}) c, max({KEY.format('domain')}) d, max({KEY.format('subtype')}) s from requests where id is not null group by id),
+n as (select c, d, s, count(*) n from r where c is not null and d is not null and s is not null group by all)
+select plan_id, category, domain, subtype from sample_targets left join n on c = category and d = domain and s = subtype
+where coalesce(n, 0) < greatest(min_rows, target_share * sample_fraction * (select count(*) from r))""",
         "p8_found": """
 with x as (select limit_id, doc_id, capacity_tokens c, text from documents, size_limits where strlen(text) > capacity_tokens)
 select limit_id, doc_id, 'over' case_kind from x
