@@ -1,0 +1,55 @@
+"""Words and n-gram sets of texts, for Arrow workers."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import xxhash
+
+_WORD = re.compile(r"[^\W_]+")
+#: Each ASCII letter in lower case, each digit as it is, all else a blank.
+ASCII_WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_CACHE: dict[str, int] = {}
+
+
+def words(text: str | None) -> list[str]:
+    """The longest runs of letters and digits after lower-casing."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(ASCII_WORDS).decode().split()
+    return _WORD.findall(text.lower())
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on every bit of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of hashed ``k``-grams of words, one after the other and sorted, and the size of each."""
+    if len(_CACHE) > 2_000_000:
+        _CACHE.clear()
+    lists = [words(t) for t in texts]
+    for w in {w for x in lists for w in x}.difference(_CACHE):
+        _CACHE[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    n = np.array([len(x) for x in lists], np.int64)
+    get = _CACHE.__getitem__
+    flat = np.fromiter((get(w) for x in lists for w in x), np.uint64, int(n.sum()))
+    if len(flat) < k:
+        return np.zeros(0, np.uint64), np.zeros(len(n), np.int64)
+    h = np.zeros(len(flat) - k + 1, np.uint64)
+    for i in range(k):
+        h = mix(h * _MIX[0] + flat[i : len(flat) - k + 1 + i])
+    row = np.repeat(np.arange(len(n)), n)
+    inside = row[: len(h)] == row[k - 1 :]
+    h, row = h[inside], row[: len(inside)][inside]
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.bincount(row[new], minlength=len(n))
