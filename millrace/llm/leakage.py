@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.words import ASCII_WORDS
+
 #: Characters without width that are removed before words are read. Fixed values.
 INVISIBLE = "­​‌⁠"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _WORD = re.compile(r"[^\W_]+")
-_ASCII = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 #: Items in a block of the index, items in one index (a part of the item table), words of a passage.
 BLOCK, PART, PASSAGE = 16, 1024, 48
@@ -30,7 +29,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
-        return text.encode().translate(_ASCII).decode().split()
+        return text.encode().translate(ASCII_WORDS).decode().split()
     return _WORD.findall(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import MISSING_WORDS, key, lang
-from millrace.llm import leakage, mixing, pieces, sampling, splits, tokens
+from millrace.llm import leakage, mixing, neardup, packing, pieces, sampling, splits, tokens
 from millrace.sources.tables import table
 
 
@@ -49,6 +49,20 @@ def p2_balance(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).report
 
 
+def _similar(spark: SparkSession, d: str) -> neardup.SimilarSets:
+    return neardup.similar_sets(neardup.example_texts(table(spark, d, "examples"), table(spark, d, "requests")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of examples that say nearly the same."""
+    return _similar(spark, d).pairs()
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each example's class and number of links."""
+    return _similar(spark, d).groups()
+
+
 def _totals(spark: SparkSession, d: str) -> DataFrame:
     slices = {"source": key(F.col("source")), "lang": lang(F.col("lang")), "domain": key(F.col("domain"))}
     return tokens.token_totals(table(spark, d, "documents"), slices)
@@ -84,6 +98,16 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).report
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's container for every capacity."""
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "size_limits")).items
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and the room that is used, against a lower bound."""
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "size_limits")).report
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of evaluation items."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -105,7 +129,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_budget_cover, p5_found, p5_sample, p5_report, p7_found, p7_items, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_pieces)}
 
 
 MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)
@@ -126,6 +150,16 @@ k as (select distinct output_id, 'g' || g k from o where g is not null union sel
 e as (select distinct x.output_id a, y.output_id b from k x join k y using (k)),
 r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select a output_id, min(b) entity_id from r group by a having count(*) > 1""",
+        "p4_found": """
+with r as (select id, arg_max(seed_topic, loaded_utc) topic from requests where seed_topic is not null group by id),
+e as (select id, any_value(turns) turns from examples group by id),
+t as (select e.id, lower(concat_ws(' ', coalesce(topic, ''), array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'user'), lambda t: coalesce(t.text, '')), ' '),
+    array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: coalesce(t.think, '')), ' '))) x from e left join r using (id)),
+w as (select id, regexp_extract_all(x, '[\\p{L}\\p{N}]+') w from t),
+g as (select distinct id, unnest(list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from w),
+n as (select id, count(*) n from g group by id),
+p as (select x.id a, y.id b, count(*) c from g x join g y on x.g = y.g and x.id < y.id group by all)
+select a id_a, b id_b from p join n x on x.id = a join n y on y.id = b where c / (x.n + y.n - c) >= 0.6""",
         "p5_found": f"""
 with r as (select id, max({KEY.format('category')}) c, max({KEY.format('domain')}) d, max({KEY.format('subtype')}) s from requests where id is not null group by id),
 n as (select c, d, s, count(*) n from r where c is not null and d is not null and s is not null group by all)
