@@ -38,7 +38,7 @@ def _starts(n: np.ndarray) -> np.ndarray:
 
 
 def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(x, dtype=np.uint64)]).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])  # sums wrap
     s = _starts(n)
     return total[s + n] - total[s]
 
