@@ -109,8 +109,8 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
     measure = F.octet_length("text") if size is None else size
     docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.greatest(F.coalesce(measure.cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
     docs = materialise(docs.groupBy("doc_id").agg(F.max("n").alias("n")), "sizes")
-    caps = F.broadcast(spark.createDataFrame(small, "limit_id string, c bigint"))
-    each = docs.crossJoin(caps)  # a bounded number of capacities
+    caps = F.array(*[F.struct(F.lit(n).alias("limit_id"), F.lit(c).cast("bigint").alias("c")) for n, c in small])
+    each = docs.select("doc_id", "n", F.explode(caps).alias("cap")).select("doc_id", "n", "cap.limit_id", "cap.c") if small else docs.where("false").withColumns({"limit_id": F.lit("none"), "c": F.lit(1).cast("bigint")})
     rest = F.when(F.col("n") <= F.col("c"), F.col("n")).otherwise(F.col("n") % F.col("c"))
     each = each.withColumn("size", rest).withColumn("full", F.when(F.col("n") > F.col("c"), F.floor(F.col("n") / F.col("c"))).otherwise(0).cast("bigint"))
     hist = each.groupBy("limit_id", "size").agg(F.count(F.lit(1)).alias("count"), F.sum("full").alias("full"), F.sum("n").alias("tokens")).toPandas()
