@@ -51,8 +51,9 @@ def top(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
 def default_call(graded: DataFrame, name: str, order: str) -> DataFrame:
     """The calls of wrong but well-formed replies: ``name, n, share`` of the twelve most frequent."""
     wrong = graded.where("fault is null and not correct")
-    total = wrong.agg(F.count(F.lit(1)).alias("__n"))
-    return top(wrong, [name], order, 12).crossJoin(F.broadcast(total)).select(name, "n", (F.col("n") / F.col("__n")).alias("share"))  # one row
+    g = wrong.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__first"))
+    g = g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row per name
+    return g.orderBy(F.desc("n"), "__first", name).limit(12).select(name, "n", "share")
 
 
 def confusion(graded: DataFrame, expected: str, got: str, order: str, k: int = 25) -> DataFrame:

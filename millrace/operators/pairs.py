@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,8 +42,8 @@ def branch_bias(graded: DataFrame, group: str, branch: str) -> DataFrame:
     """``branch, wins, skew`` over pairs of which just one is correct; ``skew`` is the larger branch's share."""
     pair = graded.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"), F.max(F.when(F.col("correct"), F.col(branch))).alias("winner"))
     wins = pair.where("n = 2 and c = 1").groupBy(F.col("winner").alias("branch")).agg(F.count(F.lit(1)).alias("wins"))
-    total = wins.agg(F.max("wins").alias("m"), F.sum("wins").alias("s"))
-    return wins.crossJoin(F.broadcast(total)).select("branch", "wins", (F.col("m") / F.col("s")).alias("skew"))  # one row
+    all_of = Window.partitionBy()  # one row per branch
+    return wins.select("branch", "wins", (F.max("wins").over(all_of) / F.sum("wins").over(all_of)).alias("skew"))
 
 
 def judged_outcomes(scores: DataFrame, group: str, score: str, good: int = 4) -> DataFrame:
