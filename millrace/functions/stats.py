@@ -56,8 +56,8 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 4) -> DataFrame:
 
 
 def perplexity(loss: Column) -> Column:
-    """``exp`` of the loss, of 30 at most."""
-    return F.exp(F.least(loss, F.lit(30.0)))
+    """``exp`` of the loss, of 30 at most; null stays null."""
+    return F.when(loss.isNotNull(), F.exp(F.least(loss, F.lit(30.0))))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

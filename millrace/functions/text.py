@@ -58,7 +58,7 @@ def score(reply: Column, mode: str = "first_digit") -> Column:
         return F.nullif(F.regexp_extract(reply, r"(?i)score\D{0,10}?([0-5])", 1), F.lit("")).cast("int")
     number = F.nullif(F.regexp_extract(reply, r"(?i)score\D{0,10}?(\d{1,9})", 1), F.lit("")).cast("int")
     if mode == "clamped":
-        return F.coalesce(F.least(number, F.lit(5)), F.lit(-1))
+        return F.when(number.isNull(), -1).otherwise(F.least(number, F.lit(5)))  # least() skips nulls
     if mode == "rejected":
         return F.when(number <= 5, number).otherwise(-1)
     if mode == "last_digit":

@@ -38,7 +38,9 @@ def signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.full(len(a), PRIME, np.uint64)
     out = np.full(len(a), PRIME, np.uint64)
     for lo in range(0, len(grams), 4096):  # a long text in parts
-        np.minimum(out, ((grams[None, lo : lo + 4096] * a[:, None] + b[:, None]) % np.uint64(PRIME)).min(axis=1), out=out)
+        x = grams[None, lo : lo + 4096] * a[:, None] + b[:, None]  # under 2 ** 63
+        x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))  # the modulus is 2 ** 61 - 1
+        np.minimum(out, np.minimum(x, x - np.uint64(PRIME)).min(axis=1), out=out)  # the difference wraps where x is reduced
     return out
 
 

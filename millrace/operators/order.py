@@ -125,3 +125,28 @@ def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.05, ou
     runs = runs.withColumn("__e", F.aggregate("__s", start, fold)["all"])
     pairs = F.explode(F.arrays_zip("__s", "__e"))
     return runs.select(run, pairs.alias("__p")).select(run, F.col("__p.__s.o").alias(order), F.col("__p.__s.v").alias(value), F.col("__p.__e").alias(out))
+
+
+def rebalance(df: DataFrame, cell: list[str], key: Column, cap: int, exempt: Column, seed: int = 0) -> DataFrame:
+    """At most ``cap`` rows of each cell, chosen by a hash of their key; exempt rows all stay."""
+    rest = first_n(df.where(~exempt).withColumn("__h", F.xxhash64(key, F.lit(seed))), cell, ["__h"], cap).drop("__h")
+    return df.where(exempt).unionByName(rest)
+
+
+def sample_groups(df: DataFrame, cell: list[str], group: str, least: int, seed: int = 0) -> DataFrame:
+    """Of every cell whole groups in a hash order until ``least`` rows are there; the last may go beyond."""
+    sizes = df.groupBy(*cell, group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.col(group), F.lit(seed)), 1))
+    taken = prefix_sum(sizes, cell, "__h", F.col("__n"), "__before", block=1 << 47).where(F.col("__before") < least).select(*cell, group)
+    return df.join(taken, [*cell, group], "left_semi")
+
+
+def first_to_last(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``first, last, delta`` of a value along an order."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+    return g.withColumn("delta", F.col("last") - F.col("first"))
+
+
+def smallest_reaching(curve: DataFrame, at: str, reached: str, fraction: float) -> DataFrame:
+    """The smallest ``at`` of a growing curve at which ``fraction`` of its end is reached."""
+    end = F.max(reached).over(Window.partitionBy())  # one row per point of the curve
+    return curve.withColumn("__end", end).where(F.col(reached) >= F.col("__end") * fraction).agg(F.min(at).alias(at), F.max("__end").alias("most"))

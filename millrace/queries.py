@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import jsonx, stats, text
-from millrace.functions.names import MISSING_WORDS, key, lang, plain
+from millrace.functions import jsonx, render, stats, text
+from millrace.functions.names import MISSING_WORDS, key
 from millrace.operators import dedup, diagnose, mixture, order, pack, pairs, split, validate
 from millrace.operators.components import connected_components
+from millrace.plans import corpus
 from millrace.sources import readers
 from millrace.sources.tables import table
 
@@ -124,7 +125,7 @@ def canonical_replies(spark, d):
 
 
 @query("""select output_id, loaded_utc, nullif(regexp_extract(reason, '(?i)score\\D{0,10}?([0-5])', 1), '')::int first_digit,
-coalesce(least(nullif(regexp_extract(reason, '(?i)score\\D{0,10}?(\\d{1,9})', 1), '')::int, 5), -1) clamped from outputs where reason is not null""")
+case when regexp_extract(reason, '(?i)score\\D{0,10}?(\\d{1,9})', 1) = '' then -1 else least(regexp_extract(reason, '(?i)score\\D{0,10}?(\\d{1,9})', 1)::int, 5) end clamped from outputs where reason is not null""")
 def score_parsers(spark, d):
     o = table(spark, d, "outputs").where("reason is not null")
     return o.select("output_id", "loaded_utc", text.score(F.col("reason")).alias("first_digit"), text.score(F.col("reason"), "clamped").alias("clamped"))
@@ -598,3 +599,96 @@ def shuffled_windows(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     half = docs.count() // 2
     return readers.window_scan(docs, "doc_id", half, 7)
+
+
+# Rendering, sampling, whole flows
+
+
+@query("""select id, loaded_utc, strlen('<|system|>' || chr(10) || coalesce(system_prompt, '') || coalesce(chr(10) || '<state>' || state || '</state>', '') || chr(10))
++ list_sum(list_transform(turns, lambda t: strlen('<|' || t.role || '|>' || chr(10) || case when t.role = 'assistant' then '<think>' || coalesce(t.think, '') || '</think><response>' || coalesce(t.calls, '') || '</response>' else coalesce(t.text, t.result, '') end || chr(10))))::bigint n from examples""")
+def rendered_sizes(spark, d):
+    parts = render.segments(F.col("turns"), F.col("system_prompt"), F.col("state"))
+    return table(spark, d, "examples").select("id", "loaded_utc", F.octet_length(render.joined(parts)).cast("bigint").alias("n"))
+
+
+@query("select id, loaded_utc, 'Tools: ' || list_aggregate(tools, 'string_agg', ',') || chr(10) || chr(10) || 'Query: ' || seed_topic || chr(10) || chr(10) || 'Calls: ' || list_aggregate(requires, 'string_agg', ',') doc from requests where seed_topic is not null and len(requires) > 0 and len(tools) > 0")
+def call_documents(spark, d):
+    r = table(spark, d, "requests").where("seed_topic is not null and size(requires) > 0 and size(tools) > 0")
+    return r.select("id", "loaded_utc", render.call_document(F.col("seed_topic"), F.array_join("tools", ","), F.array_join("requires", ",")).alias("doc"))
+
+
+@query("""select id, loaded_utc, case when len(m) > 0 then list_aggregate(list_transform(range(1, len(m) + 1), lambda i: ' ' || i || '. ' || m[i]), 'string_agg', chr(10)) else '' end block from (select id, loaded_utc, from_json(json_extract(memory, '$.recent'), '["VARCHAR"]') m from requests where memory is not null)""")
+def memory_blocks(spark, d):
+    r = table(spark, d, "requests").where("memory is not null")
+    return r.select("id", "loaded_utc", render.memory_block(F.from_json(F.get_json_object("memory", "$.recent"), "array<string>")).alias("block"))
+
+
+@query()
+def prompts(spark, d):
+    """What a model is given of every example: the document before the first scored segment."""
+    parts = render.segments(F.col("turns"), F.col("system_prompt"), F.col("state"))
+    return table(spark, d, "examples").select("id", "loaded_utc", render.prompt(parts).alias("prompt"))
+
+
+@query()
+def rebalanced(spark, d):
+    """At most 200 requests of every subtype, paired ones all."""
+    r = table(spark, d, "requests").select("id", "loaded_utc", key(F.col("subtype")).alias("subtype"), "pair_id")
+    return order.rebalance(r, ["subtype"], F.concat("id", F.col("loaded_utc").cast("string")), 200, F.col("pair_id").isNotNull())
+
+
+@query()
+def sampled_groups(spark, d):
+    """Of every category whole groups of outputs until 40 rows are there."""
+    o = table(spark, d, "outputs").select("output_id", key(F.col("category")).alias("category"), F.coalesce(key(F.col("group_key")), F.col("output_id").cast("string")).alias("g"))
+    return order.sample_groups(o, ["category"], "g", 40)
+
+
+@query(f"""with {_LAST}, m as (select judge, run_label, sum(score)::bigint s, count(*) n from o where score >= 0 group by all)
+select judge, arg_min(s, run_label) "first", arg_max(s, run_label) "last", arg_max(s, run_label) - arg_min(s, run_label) delta from m group by judge""")
+def first_to_last(spark, d):
+    m = _scored(spark, d).where("score >= 0").groupBy("judge", "run_label").agg(F.sum("score").alias("s"))
+    return order.first_to_last(m, ["judge"], "run_label", "s")
+
+
+@query(f"""with {_LAST}, a as (select category, judge, sum(score)::bigint s, count(*) n from o where score >= 0 and category is not null group by all)
+select x.category, x.s::double / x.n - y.s::double / y.n gap from a x join a y using (category) where x.judge = 'judge_a' and y.judge = 'judge_b'""")
+def judge_gap(spark, d):
+    a = _scored(spark, d).where("score >= 0 and category is not null").groupBy("category").pivot("judge", ["judge_a", "judge_b"]).agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
+    return a.where("judge_a_n is not null and judge_b_n is not null").select("category", (F.col("judge_a_s").cast("double") / F.col("judge_a_n") - F.col("judge_b_s").cast("double") / F.col("judge_b_n")).alias("gap"))
+
+
+@query("""with e as (select event_id, case when row_number() over (partition by user_id order by event_id) = 1 then 1 else 0 end f from events), c as (select event_id, sum(f) over (order by event_id) s from e)
+select min(event_id) event_id, (select max(s)::bigint from c) most from c where s >= 0.9 * (select max(s) from c)""")
+def smallest_plan_reaching(spark, d):
+    c = order.running_distinct(table(spark, d, "events").select("event_id", "user_id"), ["user_id"], "event_id")
+    return order.smallest_reaching(c.select("event_id", "distinct_so_far"), "event_id", "distinct_so_far", 0.9)
+
+
+@query()
+def pretraining_corpus(spark, d):
+    """Windows of the pretraining flow: budgets of one recipe, in bytes."""
+    docs = table(spark, d, "documents").withColumn("source", key(F.col("source"))).where("source is not null")
+    b = table(spark, d, "data_config").where("config_id = 'mix_00'").select(F.col("source_key").alias("source"), F.floor(F.col("budget_tokens") / 20000).alias("budget"))
+    return corpus.pretraining(docs, b, corpus.CorpusConfig()).windows
+
+
+@query()
+def training_windows(spark, d):
+    """Packed windows of the training flow."""
+    e = readers.last_wins(table(spark, d, "examples"), ["id"], "loaded_utc").withColumn("g", key(F.col("group_key")))
+    return corpus.training(e, "g", 4096).packed
+
+
+@query()
+def evaluation_cells(spark, d):
+    """The cells of the evaluation flow."""
+    o = readers.last_wins(table(spark, d, "outputs"), ["output_id"], "loaded_utc").withColumns({c: key(F.col(c)) for c in ("category", "subtype", "group_key")})
+    e = table(spark, d, "examples").select("id", key(F.col("category")).alias("category"), key(F.col("subtype")).alias("subtype")).distinct()
+    return corpus.evaluation(o, e)["cells"]
+
+
+@query("""select window_start, event_type, count(*) n from (select event_type, time_bucket(interval '1 hour', ts, timestamp '1970-01-01') window_start from events) group by all""")
+def hourly_events(spark, d):
+    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return e.select(F.col("window.start").alias("window_start"), "event_type", "n")

@@ -5,7 +5,7 @@ from millrace.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(cores=4, memory="4g", shuffle_partitions=4)
+    s = local_session(cores=4, memory="4g", shuffle_partitions=2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
