@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,38 +62,95 @@ def estimated_jaccard(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e)) / F.size(x)
 
 
+#: Members of a band that one task compares, about; larger bands are split into cells for pairs of parts.
+CELL = 4_000
+#: Rounds in which only the first member of a band is compared with the others.
+LEADER_ROUNDS = 2
+
+
+def _compare(threshold: float, n: int):
+    """Pairs (earlier, later) of a cell's members with an estimated similarity of ``threshold``. Rows come sorted by cell."""
+
+    def pairs(o: np.ndarray, sig: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        at = np.argsort(o, kind="stable")
+        o, sig, first, second = o[at], sig[at], [], []
+        for i in range(len(o) - 1):
+            hit = np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= threshold * n - 1e-9)
+            first.append(np.full(len(hit), o[i], o.dtype))
+            second.append(o[i + 1 + hit])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(first or [o[:0]]), kind), pa.array(np.concatenate(second or [o[:0]]), kind)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, kind = None, [], None
+        for b in batches:
+            cells, o, kind = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.schema.field(1).type
+            sig = b.column(2).flatten().to_numpy().reshape(-1, n)
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo and cells[lo] != cell:
+                    if held:
+                        yield pairs(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), kind)
+                    cell, held = cells[lo], []
+                held.append((o[lo:hi], sig[lo:hi]))
+        if held:
+            yield pairs(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), kind)
+
+    return run
+
+
 def dedup(docs: DataFrame, order: str, text: str, threshold: float = 0.85, n: int = 128, bands: int = 16, seed: int = SEED) -> DataFrame:
     """``order, kept``: a text is dropped if a kept earlier one shares a band with it and has an estimated similarity of ``threshold``.
 
-    The result is that of going through the texts in order. Equal signatures are one text, the first. Then, in rounds: a text
-    that is the first undecided one in all its bands is kept, and only it is compared with the others in its bands, so the pairs
-    of a band's members are never listed; those that it confirms are dropped. A member that isn't similar waits for the next
-    round. ``order`` must be unique; empty texts are all alike, so the first is kept.
+    The result is that of going through the texts in order. Equal signatures are one text, the first. In two rounds, a text that
+    is the first undecided one in all its bands is kept and compared with the others in its bands, which drops large groups of
+    similar texts without listing their pairs. What is left in a band is compared within it, and only the pairs that are
+    confirmed come out; on these, in rounds, a text without an undecided earlier neighbour is kept and its later ones are dropped.
+    A band with many members is split into cells. ``order`` is unique, a number or a text; empty texts are all alike, so the first
+    is kept.
     """
     if n % bands:
         raise ValueError(f"{bands} bands don't divide {n} permutations")
-    rows = n // bands
-    sigs = materialise(docs.select(F.col(order).alias("__o"), signatures(F.coalesce(text, F.lit("")), n, seed).alias("sig")).withColumn("key", F.xxhash64("sig")), "signatures")
+    kind = dict(docs.dtypes)[order]
+    rows, cores = n // bands, docs.sparkSession.sparkContext.defaultParallelism
+    texts = docs.select(F.col(order).alias("__o"), F.coalesce(text, F.lit("")).alias("__t"))
+    if texts.rdd.getNumPartitions() < cores:  # a small file is one task else
+        texts = texts.repartition(cores)
+    sigs = materialise(texts.select("__o", signatures(F.col("__t"), n, seed).alias("sig")).withColumn("key", F.xxhash64("sig")), "signatures")
     heads = sigs.groupBy("key", "sig").agg(F.min("__o").alias("__o"))
     sigs = materialise(heads.select("__o", "sig"), "heads")
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * rows + 1, rows)) for i in range(bands)]))
     all_bands = sigs.select("__o", band.alias("band"))
     shared = all_bands.groupBy("band").count().where("count > 1").select("band")
     open_bands = materialise(all_bands.join(shared, "band"), "bands")
-    kept = [sigs.select("__o").join(open_bands.select("__o").distinct(), "__o", "left_anti")]
-    while not open_bands.isEmpty():
+    dropped: list[DataFrame] = []
+    for _ in range(LEADER_ROUNDS):
         first = open_bands.groupBy("band").agg(F.min("__o").alias("first"))
         led = open_bands.join(first, "band")
-        lead = materialise(led.groupBy("__o").agg(F.bool_and(F.col("__o") == F.col("first")).alias("l")).where("l").select("__o"), "kept")
-        kept.append(lead)
-        pairs = led.where("__o != first").select("__o", "first").distinct().join(lead.select(F.col("__o").alias("first")), "first")
-        pairs = pairs.join(sigs.select(F.col("__o").alias("first"), F.col("sig").alias("a")), "first").join(sigs.select("__o", F.col("sig").alias("b")), "__o")
-        gone = pairs.where(estimated_jaccard(F.col("a"), F.col("b")) >= threshold).select("__o").distinct()
+        lead = led.groupBy("__o").agg(F.bool_and(F.col("__o") == F.col("first")).alias("l")).where("l").select("__o")
+        lead = materialise(lead, "kept")
+        near = led.where("__o != first").select("__o", "first").distinct().join(lead.select(F.col("__o").alias("first")), "first")
+        near = near.join(sigs.select(F.col("__o").alias("first"), F.col("sig").alias("a")), "first").join(sigs.select("__o", F.col("sig").alias("b")), "__o")
+        gone = materialise(near.where(estimated_jaccard(F.col("a"), F.col("b")) >= threshold).select("__o").distinct(), "dropped")
+        dropped.append(gone)
         open_bands = materialise(open_bands.join(lead.unionByName(gone), "__o", "left_anti"), "bands")
-    stay = kept[0]
-    for k in kept[1:]:
-        stay = stay.unionByName(k)
-    return docs.select(F.col(order)).join(stay.select(F.col("__o").alias(order), F.lit(True).alias("kept")), order, "left").select(order, F.coalesce("kept", F.lit(False)).alias("kept"))
+    counted = open_bands.join(open_bands.groupBy("band").count().where("count > 1"), "band").withColumn("parts", F.ceil(F.col("count") / CELL).cast("int"))
+    part = F.pmod(F.xxhash64("__o"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
+    members = counted.select("__o", F.explode(cells).alias("c"), "band").select("__o", F.xxhash64("band", "c").alias("cell")).join(sigs, "__o")
+    pairs = members.select("cell", "__o", "sig").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(threshold, n), f"a {kind}, b {kind}").distinct()
+    edges = materialise(pairs, "edges")
+    while not edges.isEmpty():
+        later = edges.select(F.col("b").alias("a")).distinct()
+        gone = materialise(edges.join(later, "a", "left_anti").select(F.col("b").alias("__o")).distinct(), "dropped")
+        dropped.append(gone)
+        kept = edges.join(later, "a", "left_anti").select("a").distinct()
+        out = gone.select(F.col("__o").alias("a")).unionByName(kept)
+        edges = materialise(edges.join(out, "a", "left_anti").join(gone.select(F.col("__o").alias("b")), "b", "left_anti"), "edges")
+    gone = dropped[0]
+    for x in dropped[1:]:
+        gone = gone.unionByName(x)
+    alive = sigs.select("__o").join(gone, "__o", "left_anti").select(F.col("__o").alias(order), F.lit(True).alias("kept"))
+    return docs.select(F.col(order)).join(alive, order, "left").select(order, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def dedup_groups(docs: DataFrame, group: str, order: str, text: str, **options) -> DataFrame:

@@ -244,3 +244,19 @@ def test_moving_average_and_retention(spark):
     c = spark.createDataFrame([(s,) for s in range(0, 1001, 30)], "step bigint")
     kept = {r.step for r in diagnose.retained(c, "step", 2, 30, 1000).collect() if r.kept}
     assert {960, 990} <= kept and {90, 120} <= kept and 60 not in kept
+
+
+def test_dedup_in_cells_and_by_text_order(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CELL", 5)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(45):
+        v = list(base)
+        for _ in range(rng.randrange(12)):
+            v[rng.randrange(80)] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(v))
+    named = spark.createDataFrame([(f"k{i:03d}", t) for i, t in enumerate(texts)], "i string, t string")
+    monkeypatch.setattr(dedup, "LEADER_ROUNDS", 1)
+    got = sorted(int(r.i[1:]) for r in dedup.dedup(named, "i", "t").collect() if r.kept)
+    assert got == sequential(texts)
