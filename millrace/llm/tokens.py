@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.workspace import materialise
+
 #: Folder of public vocabularies; every executor must have it. A parameter everywhere below.
 TOKENIZER_DIR = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
@@ -29,8 +31,13 @@ def encoding(vocabulary: str, presplit: str = PRESPLIT):
 
 
 def pieces(text: Column, presplit: str = PRESPLIT) -> Column:
-    """The pieces that the tokenizer encodes one by one; joined they are the text. The vocabulary has no normalisation step."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + presplit), F.lit(0))
+    """The pieces that the tokenizer encodes one by one; joined they are the text. The vocabulary has no normalisation step.
+
+    The JVM may know fewer characters than the tokenizer: a text with one that it takes for unassigned is a single piece,
+    which the tokenizer then splits itself.
+    """
+    own = F.regexp_extract_all(text, F.lit("(?U)" + presplit), F.lit(0))
+    return F.when(F.rlike(text, F.lit(r"\p{Cn}")), F.array(text)).otherwise(own)
 
 
 def _lengths(vocabulary: str, presplit: str):
@@ -56,6 +63,7 @@ def token_totals(documents: DataFrame, slice_columns: dict[str, Column], text: s
     rows = documents.select(F.col(text).alias("__text"), *[c.alias(n) for n, c in slice_columns.items()])
     rows = rows.withColumn("__slice", F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("")) for n in names]))
     counts = rows.select("__slice", F.explode(pieces(F.col("__text"), presplit)).alias("piece")).groupBy("piece", "__slice").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "pieces")  # read twice below; the texts once
     lengths = counts.select("piece").distinct().mapInArrow(_lengths(vocabulary, presplit), "piece string, piece_tokens bigint")
     totals = counts.join(lengths, "piece").groupBy("__slice").agg(F.sum(F.col("n") * F.col("piece_tokens")).alias("tokens"))
     slices = rows.groupBy("__slice", *names).agg(F.count(F.lit(1)).alias("documents"))
