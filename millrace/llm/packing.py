@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +91,42 @@ def classes(size: np.ndarray, count: np.ndarray) -> np.ndarray:
     return size[last]
 
 
+_SOLVED = "limit_id string, kind string, a bigint, b bigint, c bigint, d bigint, e bigint, bound double"
+
+
+def _solve_limit(h: pd.DataFrame) -> pd.DataFrame:
+    """Classes of sizes, places of patterns and totals of one capacity, from its histogram: at most one row per size."""
+    name, capacity = h["limit_id"].iloc[0], int(h["c"].iloc[0])
+    full, tokens = int(h["full"].sum()), int(h["tokens"].sum())
+    h = h[h["size"] > 0].sort_values("size")
+    s, n = h["size"].to_numpy(np.int64), h["count"].to_numpy(np.int64)
+    rows, used, bound = [], 0, 0.0
+    if len(s):
+        top = classes(s, n)
+        of = np.searchsorted(top, s)
+        count = np.bincount(of, weights=n, minlength=len(top)).astype(np.int64)
+        rows += [("class", int(x), int(k), 0, 0, 0, 0.0) for x, k in zip(s, of)]
+        start = np.zeros(len(top), np.int64)
+        for pattern, uses in solve(top, count, capacity):
+            for k in np.flatnonzero(pattern).tolist():
+                end = int(start[k] + pattern[k] * uses)
+                rows.append(("slot", k, int(start[k]), end, used, int(pattern[k]), 0.0))
+                start[k] = end
+            used += uses
+        bound = max(float((s * n).sum()) / capacity, float(n[s * 2 > capacity].sum()))  # no two of the latter share a container
+    rows.append(("total", int(n.sum()), full, used + full, tokens, 0, bound + full))
+    out = pd.DataFrame(rows, columns=["kind", "a", "b", "c", "d", "e", "bound"])
+    out["kind"] = out["kind"].astype(object)
+    out.insert(0, "limit_id", pd.Series([name] * len(out), dtype=object))
+    return out
+
+
 def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size: Column | None = None, max_limits: int = 100) -> Packing:
     """Each document's container for every capacity of ``limits`` (``limit_id, capacity_tokens``).
 
     ``size`` is the number of tokens, by default UTF-8 bytes of ``text``. A document larger than the capacity is cut into full
-    containers and a rest, which is an item like the others; no other is cut. Only a histogram of sizes, at most one row per
-    size up to the capacity, reaches the driver. There, a configuration linear program over size classes is solved by
+    containers and a rest, which is an item like the others; no other is cut. From a histogram of sizes, at most one row per
+    size up to the capacity, one task for each capacity solves a configuration linear program over size classes by
     multiplicative weights with knapsack pricing. Items are numbered within their class, in shards by a hash of their id so that
     a size that a third of all documents have is no single task, and an item's number says which container's place it gets.
 
@@ -113,33 +144,12 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
     each = docs.select("doc_id", "n", F.explode(caps).alias("cap")).select("doc_id", "n", "cap.limit_id", "cap.c") if small else docs.where("false").withColumns({"limit_id": F.lit("none"), "c": F.lit(1).cast("bigint")})
     rest = F.when(F.col("n") <= F.col("c"), F.col("n")).otherwise(F.col("n") % F.col("c"))
     each = each.withColumn("size", rest).withColumn("full", F.when(F.col("n") > F.col("c"), F.floor(F.col("n") / F.col("c"))).otherwise(0).cast("bigint"))
-    hist = each.groupBy("limit_id", "size").agg(F.count(F.lit(1)).alias("count"), F.sum("full").alias("full"), F.sum("n").alias("tokens")).toPandas()
-    class_rows, slots, report = [], [], []
-    for name, capacity in small:
-        h = hist[hist["limit_id"] == name]
-        full, tokens = int(h["full"].sum()), int(h["tokens"].sum())
-        h = h[h["size"] > 0]
-        s, n = h["size"].to_numpy(np.int64), h["count"].to_numpy(np.int64)
-        used, bound = 0, 0.0
-        if len(s):
-            top = classes(s, n)
-            of = np.searchsorted(top, s)
-            count = np.bincount(of, weights=n, minlength=len(top)).astype(np.int64)
-            class_rows += [(name, int(x), int(k)) for x, k in zip(s, of)]
-            patterns = solve(top, count, capacity)
-            bound = max(float((s * n).sum()) / capacity, float(n[s * 2 > capacity].sum()))  # no two of the latter share a container
-            start = np.zeros(len(top), np.int64)
-            for pattern, uses in patterns:
-                for k in np.flatnonzero(pattern).tolist():
-                    slots.append((name, k, int(start[k]), int(start[k] + pattern[k] * uses), used, int(pattern[k])))
-                    start[k] += pattern[k] * uses
-                used += uses
-        containers = used + full
-        report.append((name, capacity, int(n.sum()), full, containers, tokens / (containers * capacity) if containers else 0.0, bound + full))
-    class_of = spark.createDataFrame(class_rows, "limit_id string, size bigint, class int")
-    slot = spark.createDataFrame(slots, "limit_id string, class int, first bigint, last bigint, base bigint, per bigint")
+    hist = each.groupBy("limit_id", "c", "size").agg(F.count(F.lit(1)).alias("count"), F.sum("full").alias("full"), F.sum("n").alias("tokens"))
+    solved = materialise(hist.groupBy("limit_id").applyInPandas(_solve_limit, _SOLVED), "patterns")
+    class_of = solved.where("kind = 'class'").select("limit_id", F.col("a").alias("size"), F.col("b").cast("int").alias("class"))
+    slot = solved.where("kind = 'slot'").select("limit_id", F.col("a").cast("int").alias("class"), F.col("b").alias("first"), F.col("c").alias("last"), F.col("d").alias("base"), F.col("e").alias("per"))
     items = each.where("size > 0").join(F.broadcast(class_of), ["limit_id", "size"])  # a row per capacity and size
-    shards = max(1, -(-docs.count() // SHARD)) if class_rows else 1
+    shards = max(1, -(-docs.count() // SHARD))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     before = Window.partitionBy("limit_id", "class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offset = items.groupBy("limit_id", "class", "shard").count().select("limit_id", "class", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
@@ -153,5 +163,8 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
     whole = each.where("full > 0").select("limit_id", "doc_id", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("k"))
     whole = whole.select("limit_id", "doc_id", F.col("k").cast("int").alias("piece_no"), (F.col("k") * F.col("c")).alias("start_token"), ((F.col("k") + 1) * F.col("c")).alias("end_token"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("container_id"))
     none = each.where("n = 0").select("limit_id", "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start_token"), F.lit(0).cast("bigint").alias("end_token"), F.lit("empty").alias("container_id"))
-    fields = "limit_id string, capacity_tokens int, items bigint, full_containers bigint, containers bigint, utilisation double, lower_bound double"
-    return Packing(packed.unionByName(whole).unionByName(none), spark.createDataFrame(report, fields))
+    named = spark.createDataFrame(small, "limit_id string, capacity_tokens int")
+    t = solved.where("kind = 'total'").select("limit_id", F.col("a").alias("items"), F.col("b").alias("full_containers"), F.col("c").alias("containers"), F.col("d").alias("tokens"), F.col("bound").alias("lower_bound"))
+    used = F.try_divide(F.col("tokens").cast("double"), F.col("containers") * F.col("capacity_tokens"))
+    report = named.join(t, "limit_id", "left").fillna(0).select("limit_id", "capacity_tokens", "items", "full_containers", "containers", F.coalesce(used, F.lit(0.0)).alias("utilisation"), F.col("lower_bound").cast("double").alias("lower_bound"))
+    return Packing(packed.unionByName(whole).unionByName(none), report)
