@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,27 @@ def version_key(c: Column, width: int = 4) -> Column:
     return F.slice(F.concat(F.transform(parts, lambda x: F.coalesce(x, F.lit(0))), F.array_repeat(F.lit(0), width)), 1, width)
 
 
+def satisfies(version: str, clauses: str) -> bool:
+    """Whether a version meets all clauses, such as ">=1.2,<2,!=1.5.0"; missing places are 0. For the driver."""
+    compare = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+
+    def numbers(v: str) -> list[int]:
+        found = re.match(r"\s*v?(\d+(?:\.\d+)*)", v)
+        if not found:
+            raise ValueError(f"no version: {v!r}")
+        return [int(x) for x in found[1].split(".")]
+
+    for clause in filter(None, (c.strip() for c in clauses.split(","))):
+        op = next((o for o in compare if clause.startswith(o)), None)
+        if op is None:
+            raise ValueError(f"no comparison: {clause!r}")
+        a, b = numbers(version), numbers(clause[len(op) :])
+        width = max(len(a), len(b))
+        if not compare[op](a + [0] * (width - len(a)), b + [0] * (width - len(b))):
+            return False
+    return True
+
+
 def word_count(c: Column) -> Column:
     """Number of runs of characters other than white space: the default tokenizer's length."""
     return F.coalesce(F.size(F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))), F.lit(0))

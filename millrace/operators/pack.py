@@ -73,3 +73,13 @@ def pack_stats(packed: DataFrame, length: str, size: int, category: str | None =
     window = F.struct("pack_group", "window_no")
     g = packed.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), F.countDistinct(window).alias("windows"), F.coalesce(F.sum(length), F.lit(0)).alias("tokens"))
     return g.withColumn("utilisation", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("windows") * F.lit(float(size))), F.lit(0.0)))
+
+
+def steps(windows: int, epochs: int, batch: int) -> int:
+    """Optimizer steps of a run: whole batches of all epochs' windows, at least one."""
+    return max(1, windows * epochs // batch)
+
+
+def missing_tokens(vocabulary: dict[str, int], needed: tuple[str, ...]) -> list[str]:
+    """Special tokens that a vocabulary lacks, in order."""
+    return [t for t in needed if t not in vocabulary]

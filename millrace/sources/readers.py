@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.order import hash_rank
@@ -142,3 +142,27 @@ def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The latest row of every key."""
     w = Window.partitionBy(*key).orderBy(F.desc_nulls_last(order), F.xxhash64(*rows.columns))
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def loader(rows: DataFrame, size: int, drop_last: bool = True) -> Iterator[list[Row]]:
+    """Batches of rows for a program on the driver, one partition ahead of it; nothing is held but the batch and a partition."""
+    batch: list[Row] = []
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        batch.append(r)
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch and not drop_last:
+        yield batch
+
+
+def config_differences(a: dict, b: dict, prefix: str = "") -> list[str]:
+    """Paths of the leaves in which two configurations differ. For the driver; ``jsonx.diff_paths`` does it for columns."""
+    out = []
+    for k in sorted(a.keys() | b.keys()):
+        x, y, path = a.get(k, ...), b.get(k, ...), f"{prefix}.{k}" if prefix else k
+        if isinstance(x, dict) and isinstance(y, dict):
+            out += config_differences(x, y, path)
+        elif type(x) is not type(y) or x != y:
+            out.append(path)
+    return out

@@ -51,6 +51,18 @@ def test_scans(spark, tmp_path, rows):
     assert readers.newest(readers.catalogue(spark, str(tmp_path))).first().step == 20
 
 
+def test_driver_side_helpers(spark):
+    from millrace.functions import text
+    from millrace.operators import pack
+
+    assert text.satisfies("1.10", ">=1.2,<2") and not text.satisfies("2.0.0", "<2") and text.satisfies("v3", "==3.0.0,!=3.1")
+    with pytest.raises(ValueError):
+        text.satisfies("1", "~1")
+    assert [len(b) for b in readers.loader(spark.range(10), 4)] == [4, 4] and sum(len(b) for b in readers.loader(spark.range(10), 4, False)) == 10
+    assert readers.config_differences({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 1.0, "c": 2}, "e": 1}) == ["a.b", "d", "e"]
+    assert pack.steps(10, 3, 4) == 7 and pack.steps(0, 1, 4) == 1 and pack.missing_tokens({"<pad>": 0}, render.SPECIAL[:2]) == ["<bos>"]
+
+
 def test_probe_files(spark, tmp_path, rows):
     (tmp_path / "base_1.json").write_text(json.dumps({"outputs": [{"score": 3}, {"score": None}]}, indent=1))
     assert rows(readers.probe_files(spark, f"{tmp_path}/*.json", "score int")) == [("base_1", 0, 3), ("base_1", 1, None)]
