@@ -190,11 +190,11 @@ def _scan(parts: list, key_type: pa.DataType):
     return run
 
 
-def leaked(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_items: int = 200_000) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_items: int = 8_192) -> DataFrame:
     """Every (doc_id, item_id) such that the document has at least ``run`` words in a row that the item has in a row.
 
     The items are the fixed, small side: a BM25 inverted index over them, in parts of 1,024 items, is sent to every worker;
-    more than ``max_items`` items are an error, not a larger broadcast. Documents are read once, whole, and never shuffled. A
+    more than ``max_items`` items are an error, not a larger broadcast: search for them part by part. Documents are read once, whole, and never shuffled. A
     document's passages are its stretches of indexed words, cut with an overlap of ``run - 1`` so that no run is lost. Impacts
     are scaled per item by the least score that a run of that item can have, so that score 1 is a lossless threshold and
     block-max bounds prune without missing an item. What is retrieved is compared run by run.

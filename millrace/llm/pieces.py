@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ NAMES = ("end", "heading", *(n for n, _ in LEVELS), "forced")
 
 def _sections(b: bytes, start: int, end: int, heads: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The subtrees below a heading: cut before every heading of the highest rank that is inside."""
-    inside = [(p, d) for p, d in heads if start < p < end]
+    inside = heads[bisect_right(heads, (start, 9)) : bisect_left(heads, (end, 0))]
     if not inside:
         return []
     top = min(d for _, d in inside)
