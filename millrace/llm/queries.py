@@ -68,6 +68,13 @@ def _totals(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_totals(table(spark, d, "documents"), slices)
 
 
+def p3_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document, with its source, language and domain."""
+    docs = table(spark, d, "documents")
+    n = tokens.document_tokens(docs, F.col("doc_id")).withColumnRenamed("record_key", "doc_id")
+    return docs.select("doc_id", key(F.col("source")).alias("source"), lang(F.col("lang")).alias("lang"), key(F.col("domain")).alias("domain")).join(n, "doc_id")
+
+
 def p3_token_totals(spark: SparkSession, d: str) -> DataFrame:
     """Documents and tokens by source, language and domain."""
     return _totals(spark, d)
@@ -129,7 +136,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_document_tokens, p3_token_totals, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_pieces)}
 
 
 MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)

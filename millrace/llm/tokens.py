@@ -70,6 +70,31 @@ def token_totals(documents: DataFrame, slice_columns: dict[str, Column], text: s
     return slices.join(totals, "__slice", "left").select(*names, "documents", F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens"))
 
 
+def document_tokens(documents: DataFrame, key: Column, text: str = "text", vocabulary: str = VOCABULARY, presplit: str = PRESPLIT) -> DataFrame:
+    """``record_key, tokens``: the exact number of tokens of every document.
+
+    A piece that is an entry of the vocabulary is one token; the vocabulary, of a fixed size, is broadcast, and such pieces are
+    only counted. For all other pieces the document's frequencies are joined with lengths, each distinct piece being encoded
+    once. Rows of one key are added up; a null key is a key; null and empty texts have 0 tokens.
+    """
+    spark = documents.sparkSession
+    own: list[tuple[str]] = []
+    for b in encoding(vocabulary, presplit)[1]:
+        try:
+            own.append((b.decode(),))
+        except UnicodeDecodeError:  # a part of a character is never a piece
+            continue
+    known = spark.createDataFrame(own, "piece string").withColumn("known", F.lit(True))
+    rows = documents.select(key.alias("record_key"), F.explode_outer(pieces(F.col(text), presplit)).alias("piece"))
+    rest = rows.join(F.broadcast(known), "piece", "left").select("record_key", F.when(F.col("known").isNull(), F.col("piece")).alias("piece"), F.when(F.col("piece").isNotNull(), 1).otherwise(0).alias("one"))
+    freq = materialise(rest.groupBy("record_key", "piece").agg(F.sum("one").alias("n")), "frequencies")
+    others = freq.where("piece is not null")
+    lengths = others.select("piece").distinct().mapInArrow(_lengths(vocabulary, presplit), "piece string, piece_tokens bigint")
+    counted = others.join(lengths, "piece").groupBy("record_key").agg(F.sum(F.col("n") * F.col("piece_tokens")).alias("t"))
+    plain = freq.where("piece is null").select("record_key", F.col("n").alias("t"))
+    return plain.unionByName(counted).groupBy("record_key").agg(F.sum("t").alias("tokens"))
+
+
 def budget_cover(totals: DataFrame, config: DataFrame, source: str = "source") -> DataFrame:
     """Tokens at hand for every source of every recipe against its budget: ``config_id, source_key, budget_tokens, tokens, cover, epochs_needed``."""
     have = totals.groupBy(F.col(source).alias("source_key")).agg(F.sum("tokens").alias("tokens"))

@@ -138,6 +138,14 @@ def test_token_totals_of_any_text(spark, texts):
     assert [r.t for r in got] == texts
 
 
+def test_tokens_of_each_document(spark):
+    enc, _ = tokens.encoding(tokens.VOCABULARY)
+    d = docs(spark, [(i, t, "s", 1) for i, t in enumerate(TEXTS)] + [(0, TEXTS[1], "s", 1), (None, "x y", "s", 1)])
+    want = {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(TEXTS)} | {None: len(enc.encode_ordinary("x y"))}
+    want[0] += want[1]
+    assert {r.record_key: r.tokens for r in tokens.document_tokens(d, F.col("doc_id")).collect()} == want
+
+
 def test_characters_that_the_jvm_does_not_know(spark):
     enc, _ = tokens.encoding(tokens.VOCABULARY)
     texts = ["a\U0001df25b \U0001df26 c", "x\U00011f04\U00011f05 1\U0001e4f0", "\u0378 \U000e0080", "plain text"]
