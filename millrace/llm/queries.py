@@ -136,7 +136,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_document_tokens, p3_token_totals, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_document_tokens, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_pieces)}
 
 
 MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)
