@@ -14,15 +14,15 @@ class AllocationRefused(RuntimeError):
     """A source has less than its budget in ``strict`` mode."""
 
 
-def allocate(budgets: DataFrame, ctx: int, mode: str = "strict") -> DataFrame:
-    """``source, budget, actual, take``: what to take from each source, a multiple of ``ctx``.
+def allocate(budgets: DataFrame, ctx: int, mode: str = "strict", by: tuple[str, ...] = ()) -> DataFrame:
+    """``source, budget, actual, take``: what to take from each source, a multiple of ``ctx``. ``by`` names several mixtures in one table.
 
     ``strict`` refuses and names every short source, ``cap_proportional`` scales all budgets by the smallest part that any
     source has, ``use_all`` takes what there is up to the budget. ``budgets`` is small: one row per source.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}: one of {', '.join(MODES)}")
-    b = budgets.select("source", F.col("budget").cast("bigint").alias("budget"), F.coalesce(F.col("actual"), F.lit(0)).cast("bigint").alias("actual"))
+    b = budgets.select(*by, "source", F.col("budget").cast("bigint").alias("budget"), F.coalesce(F.col("actual"), F.lit(0)).cast("bigint").alias("actual"))
     if mode == "strict":
         short = b.where("actual < budget").orderBy("source").collect()
         if short:
@@ -31,19 +31,19 @@ def allocate(budgets: DataFrame, ctx: int, mode: str = "strict") -> DataFrame:
     elif mode == "use_all":
         take = F.least("actual", "budget")
     else:
-        part = F.min(F.try_divide(F.col("actual").cast("double"), F.col("budget").cast("double"))).over(Window.partitionBy())
+        part = F.min(F.try_divide(F.col("actual").cast("double"), F.col("budget").cast("double"))).over(Window.partitionBy(*by))
         take = F.floor(F.col("budget") * F.least(F.coalesce(part, F.lit(1.0)), F.lit(1.0)))
     return b.withColumn("take", (F.floor(take / ctx) * ctx).cast("bigint"))
 
 
-def interleave(windows: DataFrame, seed: int = 0) -> DataFrame:
-    """``source, window_id, slot`` from ``source, windows``: all windows of all sources in one random order.
+def interleave(windows: DataFrame, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """``source, window_id, slot`` from ``source, windows``: all windows of all sources in one random order, for each mixture in ``by``.
 
     Every stretch of slots has about the sources' shares; the k-th slot of a source holds its k-th window in order of the
     hash. Windows are numbered in blocks of the hash, so no task sorts all of them.
     """
-    each = windows.where("windows > 0").select("source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("windows").cast("bigint") - 1)).alias("window_id"))
-    slots = hash_rank(each, [F.col("source"), F.col("window_id")], "slot", seed=seed)
+    each = windows.where("windows > 0").select(*by, "source", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("windows").cast("bigint") - 1)).alias("window_id"))
+    slots = hash_rank(each, [*[F.col(c) for c in by], F.col("source"), F.col("window_id")], "slot", by=list(by), seed=seed)
     return slots
 
 

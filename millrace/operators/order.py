@@ -57,8 +57,12 @@ def token_budget(df: DataFrame, source: str, order: str, tokens: Column, budget:
 def window_cut(df: DataFrame, by: list[str], order: str, tokens: Column, size: int, block: int = 65_536) -> DataFrame:
     """Which tokens of each row lie in which window of ``size`` tokens of its sequence: ``window_id, start_in_row, taken``. The last, partial window of a sequence is kept; ``full`` says which are."""
     d = df.withColumn("__n", F.coalesce(tokens.cast("bigint"), F.lit(0)))
-    d = prefix_sum(d, by, order, F.col("__n"), "__at", block).where("__n > 0")
-    d = d.withColumn("window_id", F.explode(F.sequence(F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__n") - 1) / size))))
+    return cut_at(prefix_sum(d, by, order, F.col("__n"), "__at", block), size)
+
+
+def cut_at(d: DataFrame, size: int) -> DataFrame:
+    """The cut of ``window_cut`` for rows whose place ``__at`` in their sequence and length ``__n`` are known."""
+    d = d.where("__n > 0").withColumn("window_id", F.explode(F.sequence(F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__n") - 1) / size))))
     lo = F.greatest(F.col("__at"), F.col("window_id") * size)
     hi = F.least(F.col("__at") + F.col("__n"), (F.col("window_id") + 1) * size)
     return d.withColumn("start_in_row", lo - F.col("__at")).withColumn("taken", hi - lo).drop("__n", "__at")

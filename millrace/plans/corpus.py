@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import render, text
@@ -28,18 +28,36 @@ class Corpus:
     slots: DataFrame
 
 
+def recipe_budgets(documents: DataFrame, config: DataFrame) -> DataFrame:
+    """``config_id, source, budget, epochs`` of every recipe: its mix is ``mix_ratio`` times the size of all ``documents``, also of those without a source, divided in proportion to ``budget_tokens``.
+
+    Sizes are bytes of ``text``, the tokens in which the flow cuts windows. Rows of ``config`` with a null key are left out; a null budget, ratio or cap asks for nothing.
+    """
+    total = documents.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("__total"))
+    c = config.where("config_id is not null and source_key is not null").withColumn("__b", F.coalesce("budget_tokens", F.lit(0)))
+    share = F.try_divide(F.col("__b").cast("double"), F.sum("__b").over(Window.partitionBy("config_id")))
+    budget = F.floor(F.coalesce(share * F.col("mix_ratio") * F.col("__total"), F.lit(0.0))).cast("bigint")
+    return c.crossJoin(F.broadcast(total)).select("config_id", F.col("source_key").alias("source"), budget.alias("budget"), F.coalesce("xlam_epochs", F.lit(0)).alias("epochs"))
+
+
 def pretraining(documents: DataFrame, budgets: DataFrame, cfg: CorpusConfig) -> Corpus:
     """Documents ``source, doc_id, text, int_score`` in order to each source's budget, cut into windows, windows in a mixed order.
 
-    ``budgets`` is ``source, budget`` in tokens of the byte tokenizer.
+    ``budgets`` is ``config_id, source, budget, epochs`` in tokens of the byte tokenizer; it has a row per recipe and source, each
+    recipe is a corpus of its own. A source whose budget is larger than its documents is gone through up to ``epochs`` times.
     """
     d = documents.where((F.length("text") > 0) & (F.col("int_score").isNull() | (F.col("int_score") >= cfg.least_tier)))
-    d = d.select("source", "doc_id", F.octet_length("text").cast("bigint").alias("n"))
-    have = d.groupBy("source").agg(F.sum("n").alias("actual"))
-    allocation = mixture.allocate(budgets.join(have, "source", "left"), cfg.ctx, cfg.mode)
-    used = order.token_budget(d.join(allocation.select("source", "take"), "source"), "source", "doc_id", F.col("n"), F.col("take"))
-    windows = order.window_cut(used.select("source", "doc_id", F.col("taken").alias("used")), ["source"], "doc_id", F.col("used"), cfg.ctx)
-    slots = mixture.interleave(allocation.select("source", (F.col("take") / cfg.ctx).cast("bigint").alias("windows")), cfg.seed)
+    d = d.select("source", "doc_id", F.octet_length("text").cast("bigint").alias("__n"))
+    have = d.groupBy("source").agg(F.sum("__n").alias("have"))
+    plan = budgets.join(have, "source", "left").withColumn("actual", F.col("have") * F.col("epochs"))
+    allocation = mixture.allocate(plan, cfg.ctx, cfg.mode, by=("config_id",))
+    take = F.broadcast(allocation.where("take > 0").select("config_id", "source", "take").join(F.broadcast(have), "source"))
+    # A document's place in a round through its source is the same for every recipe, so it is found once.
+    used = order.prefix_sum(d, ["source"], "doc_id", F.col("__n"), "__first").join(take, "source")
+    used = used.where("__first < take").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1 - F.col("__first")) / F.col("have")))))
+    used = used.withColumn("__at", F.col("epoch") * F.col("have") + F.col("__first")).withColumn("__n", F.least("__n", F.col("take") - F.col("__at")))
+    windows = order.cut_at(used.select("config_id", "source", "epoch", "doc_id", F.col("__n").alias("used"), "__at", "__n"), cfg.ctx).drop("__at", "__n")
+    slots = mixture.interleave(allocation.select("config_id", "source", (F.col("take") / cfg.ctx).cast("bigint").alias("windows")), cfg.seed, by=("config_id",))
     return Corpus(allocation, windows, slots)
 
 

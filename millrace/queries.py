@@ -169,6 +169,22 @@ def allocation_modes(spark, d):
     return one.unionByName(mixture.allocate(j, 4096, "cap_proportional").withColumn("mode", F.lit("cap_proportional"))).select("mode", "source", "budget", "actual", "take")
 
 
+@query(f"""with t as (select sum(n_chars) total from documents), a as (select {_key('source')} source, sum(n_chars) actual from documents group by 1),
+b as (select config_id, source_key source, floor(budget_tokens::double / sum(budget_tokens) over (partition by config_id) * mix_ratio * total)::bigint budget, xlam_epochs from data_config, t),
+j as (select config_id, b.source, budget, (coalesce(actual, 0) * xlam_epochs)::bigint actual from b left join a using (source)), m as (select config_id, least(min(actual::double / budget), 1) s from j group by 1)
+select 'use_all' "mode", config_id, source, budget, actual, (least(actual, budget) // 4096 * 4096)::bigint take from j
+union all select 'cap_proportional', config_id, source, budget, actual, (floor(budget * s)::bigint // 4096 * 4096)::bigint from j join m using (config_id)""")
+def recipe_allocation(spark, d):
+    """Both modes for every recipe over whole tables: budgets are parts of the size of all documents, a source gives at most its epochs."""
+    docs = table(spark, d, "documents").groupBy(key(F.col("source")).alias("source")).agg(F.sum("n_chars").alias("n"))
+    c = table(spark, d, "data_config")
+    share = F.col("budget_tokens").cast("double") / F.sum("budget_tokens").over(Window.partitionBy("config_id"))
+    b = c.crossJoin(F.broadcast(docs.agg(F.sum("n").alias("total")))).select("config_id", F.col("source_key").alias("source"), F.floor(share * F.col("mix_ratio") * F.col("total")).alias("budget"), "xlam_epochs")
+    j = b.join(docs, "source", "left").withColumn("actual", F.col("n") * F.col("xlam_epochs"))
+    modes = [mixture.allocate(j, 4096, m, by=("config_id",)).withColumn("mode", F.lit(m)) for m in ("use_all", "cap_proportional")]
+    return modes[0].unionByName(modes[1]).select("mode", "config_id", "source", "budget", "actual", "take")
+
+
 @query()
 def interleave_slots(spark, d):
     """Windows of all sources in one order in which any stretch has the sources' shares."""
@@ -667,10 +683,10 @@ def smallest_plan_reaching(spark, d):
 
 @query()
 def pretraining_corpus(spark, d):
-    """Windows of the pretraining flow: budgets of one recipe, in bytes."""
-    docs = table(spark, d, "documents").withColumn("source", key(F.col("source"))).where("source is not null")
-    b = table(spark, d, "data_config").where("config_id = 'mix_00'").select(F.col("source_key").alias("source"), F.floor(F.col("budget_tokens") / 20000).alias("budget"))
-    return corpus.pretraining(docs, b, corpus.CorpusConfig()).windows
+    """Windows of the pretraining flow for every recipe, budgets in bytes derived from the documents. A short source is used up to its epochs, the others keep their budgets."""
+    docs = table(spark, d, "documents").withColumn("source", key(F.col("source")))
+    b = corpus.recipe_budgets(docs, table(spark, d, "data_config"))
+    return corpus.pretraining(docs.where("source is not null"), b, corpus.CorpusConfig(mode="use_all")).windows
 
 
 @query()
