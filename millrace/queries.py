@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import jsonx, render, stats, text
-from millrace.functions.names import MISSING_WORDS, key
+from millrace.functions.names import LANG_ALIASES, MISSING_WORDS, key, lang
 from millrace.operators import dedup, diagnose, mixture, order, pack, pairs, split, validate
 from millrace.operators.components import connected_components
 from millrace.plans import corpus
@@ -29,6 +29,11 @@ def _key(c: str) -> str:
     return f"(case when {_plain(c)} not in ({_MISSING}) then {_plain(c)} end)"
 
 
+def _lang(c: str) -> str:
+    head = f"split_part({_key(c)}, '_', 1)"
+    return f"(case {head} {' '.join(f"when '{a}' then '{n}'" for a, n in LANG_ALIASES.items())} else {head} end)"
+
+
 def query(sql: str | None = None):
     def add(f):
         _QUERIES[f.__name__] = f
@@ -231,6 +236,17 @@ def group_split(spark, d):
     return split.validation_split(o, g, 0.1, order=top).select("output_id", "loaded_utc", "split")
 
 
+@query(f"""with o as materialized (select output_id, loaded_utc, coalesce({_key('group_key')}, 'solo ' || output_id) g from outputs), g as (select g, count(*) n, md5(g) h from o group by g),
+b as (select g, coalesce(sum(n) over (order by h rows between unbounded preceding and 1 preceding), 0) b from g)
+select output_id, loaded_utc, case when b < round_even((select count(*) from outputs) * 0.1, 0) then 'val' else 'train' end split from o join b using (g)""")
+def group_split_plain(spark, d):
+    """``group_split`` by the group's name: its spellings stay together, an output without a usable key is alone."""
+    o = table(spark, d, "outputs").select("output_id", "loaded_utc", "group_key")
+    g = F.coalesce(key(F.col("group_key")), F.concat(F.lit("solo "), F.col("output_id").cast("string")))
+    top = F.conv(F.substring(F.md5(F.col("__group")), 1, 15), 16, 10).cast("bigint") * 8
+    return split.validation_split(o, g, 0.1, order=top).select("output_id", "loaded_utc", "split")
+
+
 # Deduplication
 
 
@@ -316,6 +332,20 @@ def unscored_subtypes(spark, d):
     return table(spark, d, "requests").select("subtype").subtract(table(spark, d, "outputs").select("subtype"))
 
 
+@query(f"select spec_id from (select {_key('spec_id')} spec_id from examples intersect select {_key('spec_id')} from outputs) where spec_id is not null")
+def shared_specs_plain(spark, d):
+    """``shared_specs`` by name."""
+    named = [table(spark, d, t).select(key(F.col("spec_id")).alias("spec_id")).where("spec_id is not null") for t in ("examples", "outputs")]
+    return named[0].intersect(named[1])
+
+
+@query(f"select subtype from (select {_key('subtype')} subtype from requests except select {_key('subtype')} from outputs) where subtype is not null")
+def unscored_subtypes_plain(spark, d):
+    """``unscored_subtypes`` by name."""
+    named = [table(spark, d, t).select(key(F.col("subtype")).alias("subtype")).where("subtype is not null") for t in ("requests", "outputs")]
+    return named[0].subtract(named[1])
+
+
 @query("""with recursive e as (select distinct c_custkey a, c_nationkey + 1000000000 b from customer where c_acctbal < 0 union select distinct o_custkey, o_custkey from orders),
 r(a, b) as (select distinct a, b from e where a <> b union select b, a from e where a <> b), t as (select a, b from r union select t.a, r.b from t join r on r.a = t.b)
 select a node, least(a, min(b)) root from t group by a""")

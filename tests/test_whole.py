@@ -2,9 +2,7 @@
 
 import collections
 
-import pytest
-from pyspark.sql import functions as F
-
+from millrace import queries
 from millrace.plans import corpus
 
 
@@ -30,3 +28,22 @@ def test_pretraining_takes_every_recipes_share_of_all_documents(spark):
     assert {(x.config_id, x.source, x.window_id) for x in slots} == windows
     for r in recipes:
         assert sorted(x.slot for x in slots if x.config_id == r) == list(range(sum(w[0] == r for w in windows)))
+
+
+def tables(monkeypatch, **frames):
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: frames[name])
+
+
+def test_spellings_of_a_group_are_split_together(spark, rows, monkeypatch):
+    spelt = lambda i, s: [f"Group {i}", f" group-{i}", f"GROUP__{i} "][s]
+    data = [(100 * i + s, None, spelt(i, s), f"Spec-{i}" if s else f"spec {i}", spelt(i, s)) for i in range(60) for s in range(3)]
+    data += [(10_000 + i, None, w, w, w) for i, w in enumerate(["N/A", "none", "-", "", "unknown", None] * 10)]
+    o = spark.createDataFrame(data, "output_id bigint, loaded_utc timestamp, group_key string, spec_id string, subtype string")
+    e = spark.createDataFrame([("SPEC 1",), ("spec_2 ",), ("none",), ("other",), (None,)], "spec_id string")
+    r = spark.createDataFrame([("group 1",), ("N/A",), ("New one",), (None,)], "subtype string")
+    tables(monkeypatch, outputs=o, examples=e, requests=r)
+    got = {x.output_id: x.split for x in queries.group_split_plain(spark, "").collect()}
+    assert len(got) == len(data) and all(len({got[100 * i + s] for s in range(3)}) == 1 for i in range(60))
+    assert 24 <= sum(x == "val" for x in got.values()) <= 26
+    assert len({got[10_000 + i] for i in range(0, 60, 6)} | {got[10_000 + i] for i in range(60)}) == 2  # not one block
+    assert rows(queries.shared_specs_plain(spark, "")) == [("spec_1",), ("spec_2",)] and rows(queries.unscored_subtypes_plain(spark, "")) == [("new_one",)]
