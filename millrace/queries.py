@@ -74,6 +74,13 @@ def partition_scan(spark, d):
     return table(spark, d, "documents").where(F.col("lang").isin("de", "fr", "ja")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query(f"select {_lang('lang')} lang, count(*) n, sum(n_chars)::bigint chars from documents where {_lang('lang')} in ('de', 'fr', 'ja') group by 1")
+def partition_scan_plain(spark, d):
+    """``partition_scan`` by language, in whatever code."""
+    docs = table(spark, d, "documents").select(lang(F.col("lang")).alias("lang"), "n_chars").where(F.col("lang").isin("de", "fr", "ja"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
 @query(f"select {_key('source')} source, {_key('domain')} \"domain\", count(*) n, count(distinct origin) origins from documents group by all")
 def plain_names(spark, d):
     docs = table(spark, d, "documents")
@@ -160,6 +167,17 @@ def token_budget_prefix(spark, d):
     return order.token_budget(docs.join(half, "source"), "source", "doc_id", F.col("n"), F.col("budget")).select("source", "doc_id", "before", "taken")
 
 
+@query(f"""with d as (select doc_id, {_key('source')} source, len(regexp_extract_all(text, '\\S+'))::bigint n from documents),
+c as (select *, coalesce(sum(n) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint b from d where source is not null),
+t as (select source, sum(n) // 2 budget from d group by source)
+select source, doc_id, b as "before", least(n, budget - b)::bigint taken from c join t using (source) where b < budget and n > 0""")
+def token_budget_prefix_plain(spark, d):
+    """``token_budget_prefix`` by the source's name: one budget and one sequence for all its spellings."""
+    docs = table(spark, d, "documents").select("doc_id", key(F.col("source")).alias("source"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("bigint").alias("n")).where("source is not null")
+    half = docs.groupBy("source").agg(F.floor(F.sum("n") / 2).alias("budget"))
+    return order.token_budget(docs.join(half, "source"), "source", "doc_id", F.col("n"), F.col("budget")).select("source", "doc_id", "before", "taken")
+
+
 @query("""with b as (select source_key source, max(budget_tokens) // 100000 budget from data_config group by 1),
 a as (select """ + _key("source") + """ source, sum(n_chars) actual from documents group by 1),
 j as (select b.source, budget::bigint budget, coalesce(actual, 0)::bigint actual from b left join a using (source)),
@@ -206,6 +224,16 @@ def window_cut(spark, d):
     return w.groupBy("source", "window_id").agg(F.count(F.lit(1)).alias("parts"), F.min("doc_id").alias("first_doc"), F.sum("taken").alias("tokens"))
 
 
+@query(f"""with s as (select doc_id, {_key('source')} source, n_chars n from documents), d as (select *, coalesce(sum(n) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint p from s where source is not null),
+w as (select *, unnest(range(p // 4096, (p + n - 1) // 4096 + 1)) window_id from d where n > 0)
+select source, window_id, count(*) parts, min(doc_id) first_doc, sum(least(p + n, (window_id + 1) * 4096) - greatest(p, window_id * 4096))::bigint tokens from w group by all""")
+def window_cut_plain(spark, d):
+    """``window_cut`` by the source's name."""
+    docs = table(spark, d, "documents").select("doc_id", key(F.col("source")).alias("source"), "n_chars").where("source is not null")
+    w = order.window_cut(docs, ["source"], "doc_id", F.col("n_chars"), 4096)
+    return w.groupBy("source", "window_id").agg(F.count(F.lit(1)).alias("parts"), F.min("doc_id").alias("first_doc"), F.sum("taken").alias("tokens"))
+
+
 @query("""with c as (select category, paired, round_even(30000 * share, 0)::bigint p from category_specs),
 e as (select category, paired, case when paired then p + p % 2 else p end p from c)
 select category, paired, (p + case when category = (select arg_max(category, p) from e where not paired) then 30000 - (select sum(p) from e) else 0 end)::bigint planned from e""")

@@ -47,3 +47,12 @@ def test_spellings_of_a_group_are_split_together(spark, rows, monkeypatch):
     assert 24 <= sum(x == "val" for x in got.values()) <= 26
     assert len({got[10_000 + i] for i in range(0, 60, 6)} | {got[10_000 + i] for i in range(60)}) == 2  # not one block
     assert rows(queries.shared_specs_plain(spark, "")) == [("spec_1",), ("spec_2",)] and rows(queries.unscored_subtypes_plain(spark, "")) == [("new_one",)]
+
+
+def test_spellings_of_a_source_are_one_sequence(spark, rows, monkeypatch):
+    data = [(i, ["Edu Web", "edu_web", " EDU-web "][i % 3], "de fr", 3000, ["de", "DE", "de-DE", "en"][i % 4]) for i in range(12)] + [(20, "N/A", "x y", 9, "JA"), (21, None, "x", 9, None)]
+    tables(monkeypatch, documents=spark.createDataFrame(data, "doc_id bigint, source string, text string, n_chars bigint, lang string"))
+    assert rows(queries.token_budget_prefix_plain(spark, "")) == sorted([("edu_web", i, 2 * i, 2) for i in range(6)], key=repr)
+    w = queries.window_cut_plain(spark, "").collect()
+    assert sorted((x.source, x.window_id, x.tokens) for x in w) == [("edu_web", i, min(4096, 36000 - 4096 * i)) for i in range(9)]
+    assert rows(queries.partition_scan_plain(spark, "")) == [("de", 9, 27000), ("ja", 1, 9)]
