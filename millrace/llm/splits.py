@@ -70,13 +70,46 @@ def place(sizes: np.ndarray, wanted: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rounds(counts: list[tuple[int, int]], most: int) -> list[tuple[list[int], int]]:
+    """Labels, rarest first with their entities, in rounds: labels that fit into one task together, or one label and its number of shards."""
+    out: list[tuple[list[int], int]] = []
+    held = most + 1
+    for label, n in counts:
+        if held + n > most:
+            out.append(([label], max(1, -(-n // most))))
+            held = n
+        else:
+            out[-1][0].append(label)
+            held += n
+    return out
+
+
+def _shard(share: np.ndarray, shards: int):
+    """Places a shard's entities. In one of many shards what is wanted is a whole number of each label, rounded by lot, so that a label with few records in every shard is not rounded alike in all of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lot = np.random.default_rng(int(pdf["shard"].iloc[0]))
+        pdf = pdf.sort_values("entity_id", kind="stable")
+        v = np.array(pdf["vector"].tolist(), float)
+        want = share * v.sum(axis=0)
+        if shards > 1:
+            upto = np.floor(np.vstack([np.zeros(len(want[0])), np.cumsum(want, axis=0)]) + lot.random(len(want[0])) + 1e-9)
+            want = np.diff(upto, axis=0)
+        at = place(v, want, pdf["tie"].to_numpy())
+        return pd.DataFrame({"root": pdf["root"].to_numpy(), "split": at, "vector": pdf["vector"].to_numpy()})
+
+    return run
+
+
 def split_records(records: DataFrame, splits: DataFrame, record_id: Column, ties: list[Column], label: Column) -> Split:
     """Every record in one of the splits (``split_name, fraction``), records tied by a key in the same, labels spread evenly.
 
     Entities are found by contraction of the graph of keys; labels are counted per entity before anything is gathered. The few
     entities with more than 1/5,000 of all records are placed one by one, rarest outstanding label first, into the split that
-    wants it most; then all others in shards of about 20,000 entities, each with its part of what is still wanted. Small inputs
-    are one shard, which is the plain sequential method. The same input gives the same splits.
+    wants it most; then all others by their rarest label, from the rarest on, in rounds: up to 20,000 entities are placed in order
+    by one task, a label with more is dealt to shards of about 20,000 of its entities. What is still wanted goes from round to
+    round, so a rare label is placed as a whole however large the table is. Small inputs are one round and one shard, which is
+    the plain sequential method. The same input gives the same splits.
 
     Rows without an id are left out, null labels are a label, repeated rows of an id are one record; an empty table gives an
     empty result. Fractions are taken relative to their sum. More than 1,000 labels are an error.
@@ -104,18 +137,19 @@ def split_records(records: DataFrame, splits: DataFrame, record_id: Column, ties
     if len(head):
         at = place(np.array(head["vector"].tolist(), float), wanted, np.arange(len(head)))
         placed = spark.createDataFrame([(r, names[s]) for r, s in zip(head["root"], at)], "root string, split_name string")
-    in_tail = np.maximum(1, np.array([totals[x] for x in labels], float) - (np.array(head["vector"].tolist(), float).sum(axis=0) if len(head) else 0))
-    share = wanted / in_tail  # of a label's records in the tail, by split
-
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entity_id", kind="stable")
-        v = np.array(pdf["vector"].tolist(), float)
-        at = place(v, share * v.sum(axis=0), pdf["tie"].to_numpy())
-        return pd.DataFrame({"root": pdf["root"].to_numpy(), "split_name": np.array(names, object)[at]})
-
-    shards = max(1, -(-tail.count() // SHARD))
-    tail = tail.withColumn("tie", F.xxhash64("entity_id", F.lit(3))).withColumn("shard", F.pmod(F.xxhash64("entity_id", F.lit(11)), F.lit(shards)))
-    placed = placed.unionByName(tail.groupBy("shard").applyInPandas(shard, "root string, split_name string"))
+    left = np.array([totals[x] for x in labels], float) - (np.array(head["vector"].tolist(), float).sum(axis=0) if len(head) else 0)
+    rarest = np.argsort(left, kind="stable").tolist()
+    primary = F.get(F.filter(F.array(*[F.lit(i) for i in rarest]), lambda i: F.get("vector", i) > 0), F.lit(0)) if labels else F.lit(0)
+    tail = materialise(tail.select("root", "entity_id", "vector", F.xxhash64("entity_id", F.lit(3)).alias("tie"), primary.alias("primary")), "tail")
+    entities_of = dict(tail.groupBy("primary").count().collect())
+    for group, shards in _rounds([(i, entities_of[i]) for i in rarest if i in entities_of], SHARD):
+        share = wanted / np.maximum(1, left)  # of a label's records not yet placed, by split
+        rows = tail.where(F.col("primary").isin(group)).withColumn("shard", F.pmod(F.xxhash64("entity_id", F.lit(11)), F.lit(shards)))
+        done = materialise(rows.groupBy("shard").applyInPandas(_shard(share, shards), "root string, split bigint, vector array<bigint>"), "round")
+        for r in done.select("split", F.posexplode("vector").alias("at", "n")).groupBy("split", "at").agg(F.sum("n").alias("n")).collect():
+            wanted[r["split"], r["at"]] -= r["n"]
+            left[r["at"]] -= r["n"]
+        placed = placed.unionByName(done.select("root", F.get(F.array(*[F.lit(x) for x in names]), F.col("split").cast("int")).alias("split_name")))
     placed = materialise(entity.select("root", "entity_id", "entity_size").join(placed, "root"), "placed")
     done = lookup(members, placed, "root", "inner").select("record_id", "entity_id", "entity_size", F.nullif("label", F.lit("")).alias("label"), "split_name")
     ask = spark.createDataFrame([(s, x, float(part[i])) for i, s in enumerate(names) for x in labels], "split_name string, label string, wanted double")
