@@ -169,3 +169,17 @@ def dedup_groups(docs: DataFrame, group: str, order: str, text: str, **options)
 def top_up(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` whose stable key the existing rows don't have; of repeated new keys one row."""
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+
+
+def top_up_deduped(existing: DataFrame, new: DataFrame, key: str, group: str, text: str, **options) -> DataFrame:
+    """Rows of ``new`` to be added: those of ``top_up`` that don't nearly repeat an existing row or an earlier addition.
+
+    Both tables are gone through in the order of (is new, key), so existing rows win; groups are kept or dropped whole. Both have
+    ``key``, ``group`` and ``text``; number keys are not negative.
+    """
+    name = F.col(key) if dict(new.dtypes)[key] == "string" else F.lpad(F.col(key).cast("string"), 20, "0")
+    fresh = materialise(top_up(existing, new, key), "additions")
+    part = lambda d, n: d.select(F.concat(F.lit(f"{n}:"), name).alias("__o"), group, text)
+    both = part(existing.dropDuplicates([key]), 0).unionByName(part(fresh, 1))
+    kept = dedup_groups(both, group, "__o", text, **options).where("kept").select("__o")
+    return fresh.withColumn("__o", F.concat(F.lit("1:"), name)).join(kept, "__o", "left_semi").drop("__o")

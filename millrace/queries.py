@@ -314,6 +314,15 @@ def top_up_new(spark, d):
     return e.join(o.select("group_key"), "group_key", "left_anti").select("id").distinct()
 
 
+@query()
+def top_up_deduped(spark, d):
+    """Examples loaded after the mean time as additions to those loaded before: without ids that are there and near-duplicates, groups whole."""
+    fp = F.array_join(F.transform("turns", lambda t: F.coalesce(text.without_ids(t["text"]), t["calls"], F.lit(""))), "\n")
+    e = table(spark, d, "examples").select("id", key(F.col("group_key")).alias("g"), fp.alias("fp"), F.unix_seconds(F.to_timestamp("loaded_utc")).alias("at"))
+    e = e.crossJoin(F.broadcast(e.agg(F.floor(F.sum("at") / F.count("at")).alias("mean"))))
+    return dedup.top_up_deduped(e.where("at is null or at <= mean"), e.where("at > mean"), "id", "g", "fp").select("id")
+
+
 # Joins and sets
 
 

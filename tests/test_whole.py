@@ -3,6 +3,7 @@
 import collections
 
 from millrace import queries
+from millrace.operators import dedup
 from millrace.plans import corpus
 
 
@@ -56,3 +57,11 @@ def test_spellings_of_a_source_are_one_sequence(spark, rows, monkeypatch):
     w = queries.window_cut_plain(spark, "").collect()
     assert sorted((x.source, x.window_id, x.tokens) for x in w) == [("edu_web", i, min(4096, 36000 - 4096 * i)) for i in range(9)]
     assert rows(queries.partition_scan_plain(spark, "")) == [("de", 9, 27000), ("ja", 1, 9)]
+
+
+def test_additions_that_nearly_repeat_existing_rows_are_dropped(spark, rows):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    old = spark.createDataFrame([("m", None, words("a")), ("z", "g", words("b")), ("y", "g", words("c"))], "id string, g string, t string")
+    data = [("m", None, words("q")), ("b", None, words("a") + " more"), ("c", None, words("d")), ("d", None, words("d")), ("e", "h", words("c")), ("f", "h", words("b")), ("i", "k", words("b")), ("j", "k", words("e"))]
+    new = spark.createDataFrame(data + data[2:3], "id string, g string, t string")
+    assert {r.id for r in dedup.top_up_deduped(old, new, "id", "g", "t").collect()} == {"c", "i", "j"}  # h is the group of y and z again, k only in part
