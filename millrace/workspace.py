@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,16 +33,29 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, such as those of earlier rounds; others are left alone."""
+    for df in steps:
+        path = getattr(df, "_step", None)
+        if path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone; the folder is a temporary one then
             pass
     _WRITTEN.clear()

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup, diagnose, mixture, order, pack, pairs, skew, split, validate
+from millrace.operators import components, dedup, diagnose, mixture, order, pack, pairs, skew, split, validate
 from millrace.operators.components import connected_components
 
 
@@ -70,9 +70,17 @@ def test_planned_counts_add_up(spark):
         assert sum(got.values()) == n and got["p"] % 2 == 0
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
-def test_components(spark, edges):
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40), st.sampled_from([0, 5, 1000]))
+def test_components(spark, edges, last):
+    components.LAST_LINKS, most = last, components.LAST_LINKS
+    try:
+        check_components(spark, edges)
+    finally:
+        components.LAST_LINKS = most
+
+
+def check_components(spark, edges):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} if edges else {}
     parent = {}
 
@@ -88,7 +96,9 @@ def test_components(spark, edges):
     assert all((got[x] == got[y]) == (find(x) == find(y)) for x in linked for y in linked)
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("last", [0, 50, 10**6])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST_LINKS", last)
     e = [(i, i + 1) for i in range(400)] + [(10_000, 10_001 + i) for i in range(200)] + [(1, None)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
     assert len({got[i] for i in range(401)}) == 1 and len({got[10_000 + i] for i in range(201)}) == 1 and len(set(got.values())) == 2
