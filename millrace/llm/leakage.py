@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.words import ASCII_WORDS
+from millrace.llm.words import ASCII_WORDS
 
 #: Characters without width that are removed before words are read. Fixed values.
 INVISIBLE = "­​‌⁠"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.words import gram_sets, mix
+from millrace.llm.words import gram_sets, mix
 from millrace.operators.components import connected_components
 from millrace.workspace import materialise
 
