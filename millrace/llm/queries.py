@@ -36,7 +36,7 @@ def _split(spark: SparkSession, d: str) -> splits.Split:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Outputs that are tied to others, with the least id of all that are."""
-    return _split(spark, d).records.where("entity_size > 1").select(F.col("record_id").alias("output_id"), "entity_id")
+    return _split(spark, d).entities.where("entity_size > 1").select(F.col("record_id").alias("output_id"), "entity_id")
 
 
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
