@@ -16,7 +16,7 @@ def _mix(spark: SparkSession, d: str) -> mixing.Mix:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Budgets of recipes that cannot be filled."""
-    return _mix(spark, d).plan.where("not reachable").select("config_id", "source_key")
+    return _mix(spark, d).asked.where("not reachable").select("config_id", "source_key")
 
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
