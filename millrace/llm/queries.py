@@ -115,14 +115,23 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "size_limits")).report
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), item_answer="expected")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of evaluation items."""
-    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return _leaks(spark, d).select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation items and the number of documents with passages of them."""
-    return leakage.leaked_items(p7_found(spark, d), table(spark, d, "eval_items"))
+    """Evaluation items and the number of documents with passages of them, and with their answers too."""
+    return leakage.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """How much of an item's question a document holds, and whether it holds the answer."""
+    return _leaks(spark, d)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +145,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_document_tokens, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_document_tokens, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p7_leaks, p8_found, p8_pieces)}
 
 
 MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)

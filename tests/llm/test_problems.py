@@ -329,7 +329,7 @@ def brute_leaks(data, items, run):
     return out
 
 
-def test_leaks_are_all_found(spark):
+def test_leaks_are_all_found(spark, monkeypatch):
     rng = np.random.default_rng(4)
     word = lambda: f"v{rng.integers(40)}"
     items = [(j, " ".join(word() for _ in range(rng.integers(5, 40)))) for j in range(70)] + [(100, None), (None, "x y z"), (101, "ein zwei drei vier fünf sechs")]
@@ -346,11 +346,43 @@ def test_leaks_are_all_found(spark):
     d = docs(spark, [(i, t, "s", 0) for i, t in data])
     it = spark.createDataFrame([(j, t, "q", 3) for j, t in items], "item_id bigint, text string, lang string, doc_id int")
     for run in (6, 7):
-        got = [tuple(r) for r in leakage.leaked(d, it, run).collect()]
+        got = [(r.doc_id, r.item_id) for r in leakage.leaks(d, it, run).collect()]
         want = brute_leaks(data, items, run)
         assert len(got) == len(want) and set(got) == want and want
     assert (500, 101) in brute_leaks(data, items, 6)
-    assert leakage.leaked(d, it.where("false"), 6).count() == 0 and leakage.leaked(docs(spark, []), it, 6).count() == 0
+    monkeypatch.setattr(leakage, "INDEX_BYTES", 1500)  # several indexes
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, it, 6).collect()} == brute_leaks(data, items, 6)
+    assert leakage.leaks(d, it.where("false"), 6).count() == 0 and leakage.leaks(docs(spark, []), it, 6).count() == 0
+
+
+def test_wand_retrieves_what_scoring_all_items_does():
+    rng = np.random.default_rng(9)
+    for block in (1, 3, 16):
+        leakage.BLOCK, kept = block, leakage.BLOCK
+        items = [(j, " ".join(f"v{int(x)}" for x in rng.zipf(1.3, rng.integers(12, 40)) % 60), None) for j in range(90)]
+        x = leakage.build_index(items, 12)
+        leakage.BLOCK = kept
+        lists = len(x.end) - 1
+        dense = np.zeros((lists + 1, len(x.ids)))
+        for k in range(lists):
+            for a in range(x.end[k - 1] if k else 0, x.end[k]):
+                dense[k, x.at[a] - k * len(x.ids)] = x.impact[a]
+        terms = np.full((300, leakage.PASSAGE), lists)
+        for r in terms:
+            own = np.unique(rng.integers(0, lists, rng.integers(1, leakage.PASSAGE)))
+            r[: len(own)] = own
+        got = set(zip(*(z.tolist() for z in leakage.retrieve(x, terms))))
+        score = dense[terms].sum(axis=1)
+        assert {(p, i) for p, i in zip(*(z.tolist() for z in np.nonzero(score >= 1.001)))} <= got <= {(p, i) for p, i in zip(*(z.tolist() for z in np.nonzero(score >= 0.998)))} and len(got) > 100
+
+
+def test_questions_and_answers_are_told_apart(spark):
+    q = " ".join(f"q{i}" for i in range(14))
+    items = spark.createDataFrame([(1, q, '[{"name":"f","n":7}]', "s"), (2, q.replace("q", "r"), None, "s"), (3, "too short", "x", "t")], "item_id bigint, text string, expected string, suite string")
+    data = [(1, q + " and then name F, n 7.", "", 0), (2, " ".join(q.split()[:12]), "", 0), (3, q.replace("q", "r"), "", 0), (1, "other row", "", 0)]
+    found = leakage.leaks(docs(spark, data), items, item_answer="expected")
+    assert {(r.doc_id, r.item_id): (round(r.question_share, 6), r.answer) for r in found.collect()} == {(1, 1): (1.0, True), (2, 1): (round(1 / 3, 6), False), (3, 2): (1.0, None)}
+    assert {tuple(r) for r in leakage.leaked_items(found, items).collect()} == {(1, "s", 2, 1, True), (2, "s", 1, 0, True), (3, "t", 0, 0, False)}
 
 
 # 8
