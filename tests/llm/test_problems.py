@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -274,10 +275,12 @@ def limits(spark, data):
     return spark.createDataFrame([(*x, 1) for x in data], LIMITS)
 
 
-def test_packing_holds_every_document_once(spark):
+def test_packing_holds_every_document_once(spark, monkeypatch):
     rng = np.random.default_rng(2)
     sizes = np.concatenate([rng.integers(1, 400, 3000), rng.lognormal(5, 1, 2000).astype(int), [100] * 3000, [0, 1000, 1001, 2500, 1, 1]]).tolist()
     d = docs(spark, [(i, "é" * (n // 2) + "x" * (n % 2), "s", n) for i, n in enumerate(sizes)])
+    monkeypatch.setattr(packing, "SHARD", 2000)
+    monkeypatch.setattr(packing, "AT_ONCE", 1)
     p = packing.pack(d, limits(spark, [("a", 1000, 10), ("b", 333, 0)]))
     for name, cap in (("a", 1000), ("b", 333)):
         r = p.items.where(F.col("limit_id") == name).toPandas()
@@ -301,6 +304,39 @@ def test_packing_of_odd_tables(spark):
     assert packing.pack(d, limits(spark, [])).items.count() == 0
 
 
+@pytest.mark.parametrize("lo,hi,most", [(0.34, 0.4, 1.001), (0.51, 0.6, 1.001), (0.26, 0.33, 1.001), (0.02, 0.98, 1.02)])  # the last has four sizes in a class
+def test_containers_are_near_the_bound_of_the_linear_program(lo, hi, most):
+    size = np.arange(int(lo * 1000), int(hi * 1000))
+    h = pd.DataFrame({"limit_id": "x", "c": 1000, "size": size, "count": 200, "full": 0, "tokens": size * 200})
+    r = packing._solve_limit(h)
+    total = r[r.kind == "total"].iloc[0]
+    assert total.a == 200 * len(size) and total.bound <= total.c + 1e-9 and total.c <= most * total.bound + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 4)), min_size=1, max_size=4, unique_by=lambda x: x[0]))
+def test_bound_of_containers_is_one(sizes):
+    """The bound is not above the fewest containers, found by going through all packings."""
+    size, count = (np.array(x) for x in zip(*sorted(sizes)))
+    ready = packing.ready_prices(size, count, 12)
+    assert packing.worth_at_most(size, count, ready, 12) <= 1 + 1e-9
+    items = tuple(sorted((s for s, n in sizes for _ in range(n)), reverse=True))
+
+    def fewest(left, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if not left:
+            return len(rooms)
+        for i in {r: k for k, r in enumerate(rooms) if r >= left[0]}.values():
+            best = min(best, fewest(left[1:], rooms[:i] + (rooms[i] - left[0],) + rooms[i + 1 :], best))
+        return min(best, fewest(left[1:], (*rooms, 12 - left[0]), best))
+
+    if len(items) <= 9:
+        h = pd.DataFrame({"limit_id": "x", "c": 12, "size": size, "count": count, "full": 0, "tokens": size * count})
+        total = packing._solve_limit(h)
+        assert total[total.kind == "total"].iloc[0].bound <= fewest(items, (), 99) + 1e-9 <= total[total.kind == "total"].iloc[0].c + 1e-9
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(30):
