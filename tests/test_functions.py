@@ -1,13 +1,10 @@
 import json
 import math
 
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import jsonx, names, stats, text, words
+from millrace.functions import jsonx, names, stats, text
 
 
 def one(spark, value, *columns):
@@ -103,15 +100,3 @@ def test_statistics(spark):
     assert abs(low - 0.036) < 1e-3 and abs(high - 0.212) < 1e-3
     assert tuple(spark.range(1).select(stats.wilson(F.lit(0), F.lit(0)).alias("w")).select("w.*").first()) == (0.0, 0.0)
     assert spark.range(1).select(stats.perplexity(F.lit(99.0))).first()[0] == math.exp(30)
-
-
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.text(max_size=60), max_size=5), st.integers(1, 4))
-def test_gram_sets(texts, k):
-    h, n = words.gram_sets(texts, k)
-    at = 0
-    for t, m in zip(texts, n):
-        w = words.words(t)
-        assert m == len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
-        assert (np.diff(h[at : at + m].astype(object)) > 0).all()
-        at += m

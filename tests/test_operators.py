@@ -110,6 +110,9 @@ def test_lookup_of_hot_keys(spark, monkeypatch):
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(200)], "k string, v int")
     got = skew.lookup(left, right, "k").groupBy("v").count().collect()
     assert {r.v: r["count"] for r in got} == {1: 500, 2: 200, None: 101}
+    hot = skew.hot_keys(left, "k")
+    got = skew.salted_join(left, right, "k", hot, F.col("i"), parts=7).groupBy("v").count().collect()
+    assert hot == ["hot"] and {r.v: r["count"] for r in got} == {1: 500, 2: 200}
 
 
 def sequential(texts, threshold=0.85, n=128, bands=16):
