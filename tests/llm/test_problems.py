@@ -6,6 +6,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -457,3 +458,22 @@ def test_pieces_of_odd_rows(spark):
     assert pieces.split_oversized(docs(spark, []), limits(spark, [("a", 100, 10)])).count() == 0
     with pytest.raises(ValueError):
         pieces.split_oversized(d, limits(spark, [("a", 100, 99)]))
+
+
+@pytest.mark.parametrize("seed,depth", [(1, 1), (2, 4), (3, 8)])
+def test_prefix_trees_cut_no_similar_pair(seed, depth, monkeypatch):
+    """One bucket with all n-grams: all pairs that reach the threshold are left, and few others."""
+    monkeypatch.setattr(neardup, "DEPTH", depth)
+    monkeypatch.setattr(neardup, "AT_ONCE", 50)
+    texts = edited(np.random.default_rng(seed), 150)
+    class Held:
+        value = np.full(1 << 21, 12, np.uint8)
+
+    source = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    routed = list(neardup._route(Held, 21, 1, 3, 0.6)(iter([source])))
+    got = {tuple(sorted((r[:2], r[2:]))) for b in neardup._join(0.6)(iter(routed)) for r in zip(*(c.to_pylist() for c in b.columns))}
+    h, n = neardup.gram_sets(texts, 3)
+    keys = list(zip(*(k.tolist() for k in neardup._class_keys(h, n))))
+    sets = dict(zip(keys, (frozenset(h[s : s + m].tolist()) for s, m in zip(np.cumsum(n) - n, n))))
+    want = {tuple(sorted((a, b))) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert want <= got and len(want) > 50 and len(got) < 2 * len(want)
