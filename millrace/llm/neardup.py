@@ -286,9 +286,10 @@ def _join(threshold: float):
         keep = new[row]
         row, gram, place = row[keep], gram[keep], place[keep].astype(np.int32)
         size = size.astype(np.int32)
-        end = np.searchsorted(row, row, side="right")  # of each path
-        by = np.sort(gram)
-        shared = np.flatnonzero(np.searchsorted(by, gram, side="right") - np.searchsorted(by, gram) > 1)
+        count = np.where(new, count, 0)
+        end = np.repeat(np.cumsum(count), count)  # of each path
+        cell = gram * np.uint32(0x9E3779B1) >> np.uint32(10)
+        shared = np.flatnonzero(np.bincount(cell, minlength=1 << 22)[cell] > 1)  # and a few that only share a cell
         if not len(shared):
             return
         hot = _parts((gram >> np.uint32(24)).astype(np.float64)) > 1  # only a part of its sets is here: what it says ends there
