@@ -450,6 +450,50 @@ def test_pieces_cut_at_the_coarsest_boundary():
     assert stretch and {k for *_, k in parts} == {"forced", "end"}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["# A\n", "## b\n\n", "Title\n=====\n", "- one\n", "  - two two\n", "    * three\n", "1. x y\n", "```\n", "code # no\n", "<a>\n", "</a>\n", "<b k='v'>", "</b>", "<c/>", "| x | y |\n", "\n", "text. More text! ", "工場。", "é" * 30 + "\r\n", "x" * 40, "def f(a):\n", "import os\n"]), max_size=50), st.integers(24, 120), st.integers(0, 12))
+def test_pieces_of_any_structure_cover_and_fit(parts, capacity, overlap):
+    text = "".join(parts)
+    b, (cut, _) = text.encode(), pieces.split_text(text, capacity, overlap)
+    assert [e for _, e, _ in cut][-1:] == [len(b)][: len(cut)] and b[cut[0][0] : cut[0][0] + 1] == b[:1] if cut else not b
+    for (s, e, _), (t, f, _) in zip(cut, [*cut[1:], (None, None, None)]):
+        assert 0 < e - s <= capacity and (t is None or f > e and (overlap <= e - t <= overlap + 3 or t == 0))
+        b[s:e].decode()
+    tree = pieces._Tree(b)  # children cover their node
+    stack = [(0, len(b), "section")]
+    for node in stack:
+        below = [c for c, _ in tree.children(node)]
+        if below:
+            assert (below[0][0], below[-1][1]) == node[:2] and all(x[1] == y[0] for x, y in zip(below, below[1:])) and all(x[0] < x[1] for x in below)
+            stack += [c for c in below if c[1] - c[0] < node[1] - node[0]]
+
+
+def kinds(text, capacity):
+    cut, _ = pieces.split_text(text, capacity, 0)
+    return [text.encode()[s:e].decode() for s, e, _ in cut], [k for *_, k in cut]
+
+
+def test_structure_that_pieces_follow():
+    words = "some words here "
+    items = "".join(f"- item {i} {words}\n" + "".join(f"  - sub {i}{j} {words}\n" for j in range(3)) for i in range(4))
+    got, how = kinds("Intro\n\n" + items, 130)
+    assert how == ["item"] * 3 + ["end"] and all(x.startswith("- item") for x in got[1:])  # an item stays with those below it
+    got, how = kinds(items, 60)
+    assert set(how) == {"item", "end"}
+    got, how = kinds("One\n===\n" + words * 6 + "\n\nTwo\n---\n" + words * 6 + "\n\nThree\n===\n" + words * 6, 150)
+    assert how == ["heading", "heading", "end"] and got[1].startswith("Two\n---") and got[2].startswith("Three")
+    fenced = "```\n# no heading\n\nx = 1\n```\n\n"
+    got, how = kinds("# A\n\n" + words * 4 + "\n\n" + fenced + words * 5, 110)
+    assert any(fenced.strip() in x for x in got) and "heading" not in how
+    got, how = kinds("<doc>\n<p>" + words * 4 + "</p>\n\n<p>" + words * 4 + "\n\nmore</p>\n<p>" + words * 4 + "</p>\n</doc>", 100)
+    assert how[:-1] == ["element"] * (len(how) - 1) and sum(x.count("</p>") == x.count("<p>") for x in got) == len(got)
+    code = "import os\n\n" + "".join(f"# a comment\n\ndef f{i}(a):\n    # inside\n    return a\n\n" for i in range(6))
+    got, how = kinds(code, 130)
+    assert set(how) == {"heading", "end"} and all(x.startswith("def") for x in got[1:])
+    deep = "".join(f"<n{i}>" for i in range(3000)) + words + "".join(f"</n{i}>" for i in reversed(range(3000)))
+    assert all(len(x) <= 200 for x in kinds(deep, 200)[0])
+
+
 def test_pieces_of_odd_rows(spark):
     d = docs(spark, [(1, None, "s", 0), (2, "", "s", 0), (3, "y" * 200_000, "s", 0), (None, "word " * 50, "s", 0), (4, "z" * 100, "s", 0), (5, "word " * 50, "s", 0), (5, "word " * 50, "s", 0)])
     p = pieces.split_oversized(d, limits(spark, [("a", 100, 10), (None, 50, 5)]))
