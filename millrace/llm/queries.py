@@ -105,6 +105,25 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).report
 
 
+def _margins(spark: SparkSession, d: str) -> sampling.Sample:
+    """The shares of every category, domain and subtype that the cells of a plan add up to, each a target of its own."""
+    cell = {n: key(F.col(n)) for n in ("category", "domain", "subtype")}
+    t = table(spark, d, "sample_targets").where("category is not null and domain is not null and subtype is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("value")) for n in cell]))
+    t = t.select("plan_id", "sample_fraction", each.alias("m"), "target_share").groupBy("plan_id", "m.dimension", "m.value").agg(F.max("sample_fraction").alias("sample_fraction"), F.sum("target_share").alias("target_share"))
+    return sampling.sample_margins(table(spark, d, "requests"), t.withColumn("min_rows", F.lit(1)), F.col("id"), cell, F.col("loaded_utc"))
+
+
+def p5_margins(spark: SparkSession, d: str) -> DataFrame:
+    """What single categories, domains and subtypes, which overlap, were asked for and can have at once."""
+    return _margins(spark, d).report
+
+
+def p5_margin_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The requests drawn for shares of single columns."""
+    return _margins(spark, d).records.withColumnRenamed("record_id", "id")
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """Each document's container for every capacity."""
     return packing.pack(table(spark, d, "documents"), table(spark, d, "size_limits")).items
@@ -145,7 +164,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_document_tokens, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p6_containers, p6_report, p7_found, p7_items, p7_leaks, p8_found, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_mix, p1_shares, p2_found, p2_splits, p2_balance, p3_token_totals, p3_document_tokens, p3_budget_cover, p4_found, p4_groups, p5_found, p5_sample, p5_report, p5_margins, p5_margin_sample, p6_containers, p6_report, p7_found, p7_items, p7_leaks, p8_found, p8_pieces)}
 
 
 MISSING = ", ".join(f"'{w}'" for w in MISSING_WORDS)

@@ -253,17 +253,52 @@ def test_sample_of_odd_tables(spark):
 def test_calibration_and_duels():
     n = np.array([100.0, 50, 0, 7, 3])
     t = np.array([10.0, 50, 0, 0, 2.5])
-    assert np.allclose(sampling.calibrate(n, t, 0.3) * n, t)
+    assert np.allclose(sampling.calibrate(n, np.eye(5, dtype=bool), t, 0.3) * n, t)
+    assert np.allclose(sampling.calibrate(n, np.eye(5, dtype=bool), t * 1.5, 0.3) * n, np.minimum(n, t * 1.5))
     rng = np.random.default_rng(0)
-    hits = np.zeros(5)
-    for _ in range(4000):
-        p, out = sampling._Pivot(), []
-        for i, w in enumerate((0.5, 0.3, 0.7, 0.1, 0.4)):
-            p.feed(0, i, w, rng.random(), out)
-        assert len(out) == 2 and not p.open
-        for i, _ in out:
-            hits[i] += 1
-    assert np.allclose(hits / 4000, (0.5, 0.3, 0.7, 0.1, 0.4), atol=0.03)
+    hits = np.zeros(9)
+    for k in range(4000):
+        p = np.array((0.5, 0.3, 0.7, 0.1, 0.4, 0.2, 1.0, 0.0, 0.25))
+        drawn, left, rest = sampling.duels(p, np.array([0] * 5 + [1] * 4), rng.integers(0, 2**62, 9), k)
+        assert (drawn < 5).sum() == 2 and 6 in drawn and (left >= 5).all() and len(left) == 1 and abs(rest[0] - 0.45) < 1e-9
+        hits[drawn] += 1
+        hits[left] += rest
+    assert np.allclose(hits / 4000, (0.5, 0.3, 0.7, 0.1, 0.4, 0.2, 1, 0, 0.25), atol=0.03)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 4), st.integers(2, 5), st.integers(0, 10**6))
+def test_overlapping_margins_are_met_at_once(a, b, seed):
+    """Totals that some probabilities have are met, and by those of the form of exponential tilting: odds ratios are those of equal chances."""
+    rng = np.random.default_rng(seed)
+    n = rng.integers(1, 500, a * b).astype(float)
+    p = rng.random(a)[:, None] * rng.random(b)[None, :] * 0.9 + 0.01 * rng.random((a, b))
+    member = np.array([np.repeat(np.arange(a), b) == i for i in range(a)] + [np.tile(np.arange(b), a) == j for j in range(b)])
+    totals = member @ (n * p.ravel())
+    got = sampling.calibrate(n, member, totals, 0.4)
+    if got.max() < 1:
+        assert np.allclose(member @ (n * got), totals, rtol=1e-6)
+        w = np.log(got).reshape(a, b)
+        assert np.allclose(w - w[:1] - w[:, :1] + w[0, 0], 0, atol=1e-5)
+
+
+def test_sample_of_margins(spark):
+    at = dt.datetime(2030, 1, 1)
+    data = [(f"r{i}", "xyz"[i % 3 if i % 7 else 0], "mn"[i % 2 if i % 5 else 0], at) for i in range(3000)] + [("none", None, "m", at)]
+    r = spark.createDataFrame([(*x, "p", "v") for x in data], "id string, c string, d string, at timestamp, plan_id string, value string")
+    ask = [("p", 0.2, "c", "x", 0.2, 0), ("p", 0.2, "c", "y", 0.5, 0), ("p", 0.2, "c", "z", 0.3, 0), ("p", 0.2, "d", "m", 0.4, 0), ("p", 0.2, "d", "n", 0.6, 0), ("p", 0.2, "d", None, 0.0, 1), ("q", 1.0, "c", "x", 0.9, 0), ("q", 1.0, "e", "x", 0.1, 0)]
+    t = spark.createDataFrame(ask, "plan_id string, sample_fraction double, dimension string, value string, target_share double, min_rows int")
+    s = sampling.sample_margins(r, t, F.col("id"), {"c": F.col("c"), "d": F.col("d")}, F.col("at"))
+    rows = s.records.collect()
+    assert len({(x.plan_id, x.record_id) for x in rows}) == len(rows)
+    for m in s.report.collect():
+        if m.plan_id == "p" and m.value is not None:
+            drawn = sum(x.plan_id == "p" and x[m.dimension] == m.value for x in rows)
+            assert not m.short and abs(m.expected - m.wanted) < 1e-3 and abs(drawn - m.wanted) <= 4, m
+    assert {(m.plan_id, m.dimension, m.value) for m in s.report.where("short").collect()} == {("p", "d", None), ("q", "c", "x"), ("q", "e", "x")}
+    assert abs(sum(x.plan_id == "p" for x in rows) - 0.2 * 3001) <= 1
+    empty = sampling.sample_margins(r.where("false"), t, F.col("id"), {"c": F.col("c"), "d": F.col("d")}, F.col("at"))
+    assert empty.records.count() == 0 and empty.report.where("short").count() == 1
 
 
 # 6
