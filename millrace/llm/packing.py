@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ STEP, RATE = 0.1, 3.0
 FINE = 16_384
 #: Items of one size in one shard of the numbering, about; limits whose patterns are sent to the workers at a time.
 SHARD, AT_ONCE = 250_000, 16
+#: Items that are packed one by one after the program is rounded.
+REST = 30_000
 
 
 @dataclass
@@ -121,12 +124,12 @@ def worth_at_most(size: np.ndarray, count: np.ndarray, price: np.ndarray, capaci
     return float((_knapsack(w, price, most, units) * price).sum() + (price * count)[free].sum())
 
 
-def solve(size: np.ndarray, count: np.ndarray, capacity: int, start: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """Patterns with the number of containers that use them, holding exactly ``count`` items of every ``size``, and dual prices.
+def solve(size: np.ndarray, count: np.ndarray, capacity: int, start: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, int]], np.ndarray, np.ndarray]:
+    """Patterns with the number of containers that use them, the items of each ``size`` that remain, and dual prices.
 
     The solution of the linear program is rounded: every pattern is used the whole number of times in its fraction, the longest
-    used first. What remains, some items for each pattern, is packed by pattern after pattern of the most room filled, each as
-    often as its items last.
+    used first. What remains is less than a container for each pattern; while that is more than REST items, patterns of the most room
+    filled are taken, each as often as its items last.
     """
     patterns, uses, price = cover(size, count, capacity, size * count / (size * count).sum() if start is None else start)
     left, out = count.astype(np.int64).copy(), []
@@ -138,14 +141,29 @@ def solve(size: np.ndarray, count: np.ndarray, capacity: int, start: np.ndarray
             out.append((patterns[i], n))
     units = min(capacity, UNITS)
     need = np.maximum(1, -(-size * units // capacity))
-    while left.any():
+    while left.sum() > REST:
         lag = np.exp(0.3 * left / count)  # among patterns of equal room, those of sizes that many are left of
         pattern = _knapsack(need, np.where(left > 0, size / capacity * lag, 0.0), left, units)
         on = pattern > 0
         n = max(1, int((left[on] // pattern[on]).min()))
         left -= pattern * n
         out.append((pattern, n))
-    return out, price
+    return out, left, price
+
+
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item, the largest first, each where it leaves the least room."""
+    rooms: list[tuple[int, int]] = []  # room and container, by room
+    out, made = np.empty(len(sizes), np.int64), 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n = int(sizes[i])
+        k = bisect_left(rooms, (n, -1))
+        room, container = rooms.pop(k) if k < len(rooms) else (capacity, made)
+        made += container == made
+        out[i] = container
+        if room > n:
+            insort(rooms, (room - n, container))
+    return out
 
 
 def classes(size: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -182,12 +200,18 @@ def _solve_limit(h: pd.DataFrame) -> pd.DataFrame:
         ready = ready_prices(s, n, capacity)
         start = np.bincount(of, weights=0.9 * ready * n + 0.1 * s * n / capacity, minlength=len(top))
         place = np.zeros(len(top), np.int64)
-        plan, price = solve(top, count, capacity, start / start.sum())
+        plan, left, price = solve(top, count, capacity, start / start.sum())
         for pattern, uses in plan:
             for k in np.flatnonzero(pattern).tolist():
                 rows.append(("slot", k, int(place[k]), used, int(pattern[k]), 0, 0.0))
                 place[k] += pattern[k] * uses
             used += uses
+        k = np.repeat(np.arange(len(top)), left)  # what remains, item by item, at its own size
+        number = np.arange(len(k)) - np.repeat(np.cumsum(left) - left, left) + place[k]
+        of_item = s[np.searchsorted(begin + n, (np.cumsum(count) - count)[k] + number, side="right")]
+        held = best_fit(of_item, capacity)
+        rows += [("slot", int(a), int(b), used + int(c), 1, 0, 0.0) for a, b, c in zip(k, number, held)]
+        used += int(held.max(initial=-1)) + 1
         dual = price[of] * s / top[of]
         bound = max(float((ready * n).sum()), float((dual * n).sum()) / worth_at_most(s, n, dual, capacity))
     rows.append(("total", int(n.sum()), full, used + full, tokens, 0, bound + full))
@@ -246,11 +270,12 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
     ``size`` is the number of tokens, by default UTF-8 bytes of ``text``. A document larger than the capacity is cut into full
     containers and a rest, which is an item like the others; no other is cut. From a histogram of sizes, at most one row per
     size up to the capacity, one task for each capacity solves the configuration linear program over some 256 size classes by
-    multiplicative weights with knapsack pricing, rounds it, and gives a lower bound: the worth of all items at dual prices for
+    multiplicative weights with knapsack pricing, rounds it, packs the rest of at most 30,000 items one by one at their own sizes,
+    the largest first where it leaves the least room, and gives a lower bound: the worth of all items at dual prices for
     which no container is worth more than 1. Its work does not grow with the documents. An item is taken for the largest of
     its class; with at most 256 different sizes each is its own class. Items are numbered within their size, in shards by a hash of their id so that
     a size that a third of all documents have is no single task, and an item's number says which container's place it gets.
-    Patterns are fewer than classes / STEP and a rest, some hundred kilobytes for each capacity; they are what is broadcast, for
+    Patterns are fewer than classes / STEP, with the rest a megabyte or two for each capacity; they are what is broadcast, for
     16 capacities at a time.
 
     Rows of one id are one document, the largest counts; rows without an id are left out. Null and empty texts have size 0 and

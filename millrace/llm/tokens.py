@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import lookup
 from millrace.workspace import materialise
 
 #: Folder of public vocabularies; every executor must have it. A parameter everywhere below.
@@ -90,7 +91,7 @@ def document_tokens(documents: DataFrame, key: Column, text: str = "text", vocab
     freq = materialise(rest.groupBy("record_key", "piece").agg(F.sum("one").alias("n")), "frequencies")
     others = freq.where("piece is not null")
     lengths = others.select("piece").distinct().mapInArrow(_lengths(vocabulary, presplit), "piece string, piece_tokens bigint")
-    counted = others.join(lengths, "piece").groupBy("record_key").agg(F.sum(F.col("n") * F.col("piece_tokens")).alias("t"))
+    counted = lookup(others, lengths, "piece", "inner").groupBy("record_key").agg(F.sum(F.col("n") * F.col("piece_tokens")).alias("t"))
     plain = freq.where("piece is null").select("record_key", F.col("n").alias("t"))
     return plain.unionByName(counted).groupBy("record_key").agg(F.sum("t").alias("tokens"))
 
