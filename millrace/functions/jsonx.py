@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 #: Arguments that are prose and say nothing about which call was made. Fixed values.
 FREE_TEXT = {"answer": ("text",)}
 _ABSENT = object()
+#: A place in a list, in a pointer: digits, no sign, at most as many as a list can have.
+_PLACE = re.compile("[0-9]{1,18}")
 _DECODER = json.JSONDecoder()
 
 
@@ -85,8 +88,8 @@ def _tokens(pointer: str | None) -> list[str] | None:
 def _step(node, token: str):
     if isinstance(node, dict):
         return node.get(token, _ABSENT)
-    if isinstance(node, list) and token.lstrip("-").isdigit():
-        return node[int(token)] if 0 <= int(token) < len(node) else _ABSENT
+    if isinstance(node, list) and _PLACE.fullmatch(token):
+        return node[int(token)] if int(token) < len(node) else _ABSENT
     return _ABSENT
 
 
@@ -189,8 +192,12 @@ def _calls_fault(calls: str | None, tools: str | None) -> str | None:
     return next((f for c in got if (f := _call_fault(c, by_name))), None)
 
 
+def _turn_faults(calls, tools: str | None) -> list[str | None] | None:
+    return None if calls is None else [_calls_fault(c, tools) for c in calls]
+
+
 def _plain(x):
-    """A cell as a Python value; missing cells come as None, NaN or NA."""
+    """A cell as a Python value; missing cells come as None, NaN or NA, lists as arrays."""
     if x is None or x is pd.NA or isinstance(x, float) and x != x:
         return None
     return x
@@ -276,6 +283,8 @@ lexical_calls = _arrow(_STRINGS, _lexical)
 call_names = _arrow(_STRINGS, _names)
 #: (calls, tools): null if all calls fit the tools, else the first fault.
 calls_fault = _arrow(_STRING, _calls_fault)
+#: (calls of several turns, tools): the fault of each.
+turn_faults = _arrow(_STRINGS, _turn_faults)
 #: (document, pointer): the value as JSON; 'null' if it is null, null if it is missing.
 pointer_get = _arrow(_STRING, _pointer_get)
 #: (document, pointer): whether it resolves.

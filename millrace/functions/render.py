@@ -10,7 +10,9 @@ from millrace.functions.text import strip
 #: Label of a token that isn't scored. Fixed value.
 IGNORE = -100
 #: Special tokens in their order; ids follow those of the 256 bytes. Fixed values.
-SPECIAL = ("<pad>", "<bos>", "<eos>", "<|system|>", "<|user|>", "<|assistant|>", "<|tool|>", "<think>", "</think>", "<response>", "</response>", "<state>", "</state>", "<memory>")
+SPECIAL = ("<tool>", "</tool>", "<response>", "</response>", "<call>", "</call>", "<state>", "</state>", "<memory>", "</memory>", "<think>", "</think>", "<|im_start|>", "<|im_end|>")
+#: Ids of the end, the beginning and the padding of a sequence, which a tokenizer has besides. The byte tokenizer puts them behind the special tokens.
+END, BEGIN, PAD = (256 + len(SPECIAL) + i for i in range(3))
 
 
 def call_document(query: Column, tools: Column, answers: Column) -> Column:
@@ -68,7 +70,7 @@ def labelled(parts: Column) -> Column:
     return F.struct(F.flatten(each).alias("ids"), F.flatten(label).alias("labels"))
 
 
-def with_end(ids: Column, end: int = 256 + SPECIAL.index("<eos>")) -> Column:
+def with_end(ids: Column, end: int = END) -> Column:
     """Ids with the end token."""
     return F.concat(ids, F.array(F.lit(end)))
 

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import block_of
+from millrace.operators.skew import lookup
+
 
 def rate(part: Column, whole: Column) -> Column:
     """``part / whole``, 0 for an empty whole."""
@@ -39,12 +42,14 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks from 1, equal values share the mean of theirs. Ranks are those of a summary of values, not of rows."""
-    w = Window.orderBy(value)
+    """Ranks from 1, equal values share the mean of theirs; null for null. Values are counted, cut into blocks and added up within their block; a value that many rows have is joined by broadcast."""
     values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(value, (before + (F.col("__n") + 1) / 2.0).alias(out))
-    return df.join(ranks, value, "left")
+    values = values.withColumn("__block", block_of(values, F.col(value)))
+    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = values.groupBy("__block").agg(F.sum("__n").alias("__t")).select("__block", F.coalesce(F.sum("__t").over(ahead("__block")), F.lit(0)).alias("__b"))  # a row per block
+    inside = F.coalesce(F.sum("__n").over(ahead("__block", value)), F.lit(0))
+    ranks = values.join(F.broadcast(totals), "__block").select(value, (F.col("__b") + inside + (F.col("__n") + 1) / 2.0).alias(out))
+    return lookup(df, ranks, value)
 
 
 def spearman(df: DataFrame, x: str, y: str, least: int = 4) -> DataFrame:

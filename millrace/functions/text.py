@@ -49,25 +49,36 @@ def think_fault(c: Column) -> Column:
     return F.when(F.length(body) < MIN_THINK_CHARS, "empty_think").when(F.rlike(c, F.lit(LEAKED_MARKUP)), "think_leaked_markup")
 
 
+#: What a judge is asked to write, by mode. Fixed values.
+SCORE_PATTERNS = {"first_digit": r"(?i)SCORE\s*:\s*([0-5])", "clamped": r"(?i)SCORE:\s*(\d+)", "rejected": r"(?i)SCORE:\s*(\d+)", "last_digit": r"(?i)SCORE:\s*([0-5])\b"}
+REASON_PATTERN = r"(?i)REASON\s*:\s*([^\r\n]+)"
+
+
 def score(reply: Column, mode: str = "first_digit") -> Column:
-    """The score in a judge's reply.
+    """The score in a judge's reply, after "SCORE:".
 
-    ``first_digit``: first digit 0 to 5 after "score", null if there is none. ``clamped``: the number after it, at most 5,
-    -1 if none. ``rejected``: the same, but more than 5 is -1. ``last_digit``: the last single digit 0 to 5 after a reasoning
-    block, -1 if none.
+    ``first_digit``: the first digit 0 to 5, null if there is none. ``clamped``: the first number, at most 5, -1 if none.
+    ``rejected``: the same, but more than 5 is -1. ``last_digit``: the last single digit 0 to 5 behind the reasoning block, or
+    anywhere if none stands behind it, -1 if none.
     """
+    if mode not in SCORE_PATTERNS:
+        raise ValueError(f"unknown mode {mode!r}: one of {', '.join(SCORE_PATTERNS)}")
+    pattern = SCORE_PATTERNS[mode]
+    if mode == "last_digit":
+        last = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(-1)).cast("int")
+        return F.coalesce(last(F.element_at(F.split(reply, "</think>"), -1)), last(reply), F.lit(-1))
+    found = F.nullif(F.regexp_extract(reply, pattern, 1), F.lit(""))
     if mode == "first_digit":
-        return F.nullif(F.regexp_extract(reply, r"(?i)score\D{0,10}?([0-5])", 1), F.lit("")).cast("int")
-    number = F.nullif(F.regexp_extract(reply, r"(?i)score\D{0,10}?(\d{1,9})", 1), F.lit("")).cast("int")
+        return found.cast("int")
+    number = found.cast("double")  # however many digits
     if mode == "clamped":
-        return F.when(number.isNull(), -1).otherwise(F.least(number, F.lit(5)))  # least() skips nulls
-    if mode == "rejected":
-        return F.when(number <= 5, number).otherwise(-1)
-    if mode == "last_digit":
-        rest = F.element_at(F.split(reply, "</think>"), -1)
-        all_of = F.regexp_extract_all(rest, F.lit(r"(?i)score\D{0,10}?([0-5])\b"), F.lit(1))
-        return F.coalesce(F.try_element_at(all_of, F.lit(-1)).cast("int"), F.lit(-1))
-    raise ValueError(f"unknown mode {mode!r}: first_digit, clamped, rejected or last_digit")
+        return F.when(number.isNull(), -1).otherwise(F.least(number, F.lit(5.0)).cast("int"))
+    return F.when(number <= 5, number.cast("int")).otherwise(-1)
+
+
+def score_reason(reply: Column) -> Column:
+    """The line after "REASON:", at most 200 characters; null without one."""
+    return F.left(strip(F.nullif(F.regexp_extract(reply, REASON_PATTERN, 1), F.lit(""))), F.lit(200))
 
 
 def mentions(c: Column, name: Column) -> Column:
@@ -75,9 +86,13 @@ def mentions(c: Column, name: Column) -> Column:
     return F.rlike(c, F.concat(F.lit(r"\b\Q"), name, F.lit(r"\E\b")))
 
 
+#: Entity ids, which are drawn anew for every example. Fixed value.
+VOLATILE_ID = r"\bb_\d+\b"
+
+
 def without_ids(c: Column) -> Column:
-    """Entity ids, which are drawn anew for every example, replaced by one mark."""
-    return F.regexp_replace(c, r"\bb_\d+\b", "<id>")
+    """Entity ids replaced by one mark."""
+    return F.regexp_replace(c, VOLATILE_ID, "<id>")
 
 
 def shortened(c: Column, n: int) -> Column:

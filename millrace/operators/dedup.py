@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import lookup
 from millrace.workspace import materialise
 
 #: Modulus of the permutations and seed of their coefficients. Fixed values.
@@ -125,11 +126,11 @@ def dedup(docs: DataFrame, order: str, text: str, threshold: float = 0.85, n: in
     dropped: list[DataFrame] = []
     for _ in range(LEADER_ROUNDS):
         first = open_bands.groupBy("band").agg(F.min("__o").alias("first"))
-        led = open_bands.join(first, "band")
+        led = lookup(open_bands, first, "band", "inner")
         lead = led.groupBy("__o").agg(F.bool_and(F.col("__o") == F.col("first")).alias("l")).where("l").select("__o")
         lead = materialise(lead, "kept")
-        near = led.where("__o != first").select("__o", "first").distinct().join(lead.select(F.col("__o").alias("first")), "first")
-        near = near.join(sigs.select(F.col("__o").alias("first"), F.col("sig").alias("a")), "first").join(sigs.select("__o", F.col("sig").alias("b")), "__o")
+        near = materialise(led.where("__o != first").select("__o", "first").distinct().join(lead.select(F.col("__o").alias("first")), "first", "left_semi"), "near")
+        near = lookup(near, sigs.select(F.col("__o").alias("first"), F.col("sig").alias("a")), "first", "inner").join(sigs.select("__o", F.col("sig").alias("b")), "__o")
         gone = materialise(near.where(estimated_jaccard(F.col("a"), F.col("b")) >= threshold).select("__o").distinct(), "dropped")
         dropped.append(gone)
         open_bands = materialise(open_bands.join(lead.unionByName(gone), "__o", "left_anti"), "bands")

@@ -6,6 +6,8 @@ the order into blocks instead: block totals are summed first, a small table, and
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,24 @@ def _equal(keys: list[str]) -> Column:
     return c
 
 
+#: Rows in one block of an order, about, and blocks at most.
+BLOCK_ROWS, MOST_BLOCKS = 65_536, 1_000
+
+
+def block_of(df: DataFrame, order: Column, rows: int | None = None) -> Column:
+    """A number for each of the stretches into which the values of ``order`` are cut, about ``rows`` rows in each, equal values together; null for null.
+
+    The cuts are approximate quantiles, at most MOST_BLOCKS numbers; they only decide which task does what.
+    """
+    x = order.cast("double")
+    n = min(MOST_BLOCKS, df.count() // (rows or BLOCK_ROWS))
+    if n < 2:
+        return F.when(order.isNotNull(), F.lit(0))
+    cuts = df.agg(F.percentile_approx(x, [i / n for i in range(1, n)], F.lit(10_000))).first()[0] or []
+    below = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    return F.when(order.isNotNull(), F.size(F.filter(below, lambda c: c < x)))
+
+
 def hash_rank(df: DataFrame, key: list[Column], out: str, by: list[str] | None = None, seed: int = 0) -> DataFrame:
     """``out``: 0, 1, ... in the order of a hash of ``key``: a shuffle that is the same however the rows are partitioned."""
     h = df.withColumn("__h", F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 1))
@@ -68,9 +88,10 @@ def cut_at(d: DataFrame, size: int) -> DataFrame:
     return d.withColumn("start_in_row", lo - F.col("__at")).withColumn("taken", hi - lo).drop("__n", "__at")
 
 
-def cap_per_cell(df: DataFrame, cell: list[str], order: list, cap: Column) -> DataFrame:
-    """The first ``cap`` rows of every cell, an exact subsequence of the rows."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where(F.col("__r") <= cap).drop("__r")
+def cap_per_cell(df: DataFrame, cell: list[str], order: list, cap: Column, most: int | None = None) -> DataFrame:
+    """The first ``cap`` rows of every cell, an exact subsequence of the rows. With ``most``, a number no cap is above, Spark cuts cells to it before it shuffles them."""
+    d = df.withColumn("__r", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
+    return (d if most is None else d.where(F.col("__r") <= most)).where(F.col("__r") <= cap).drop("__r")
 
 
 def first_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -113,22 +134,41 @@ def group_prefix(groups: DataFrame, size: str, target: Column, key: str, seed: i
     return d.withColumn("taken", F.col("__before") < target).drop("__h", "__before")
 
 
-def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.05, out: str = "ema") -> DataFrame:
+def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.05, out: str = "ema", rows: int | None = None) -> DataFrame:
     """An exponential moving average along each run, seeded with its first value: ``run, order, value, ema``.
 
-    A run's ordered values are one array, so runs must fit into a task, as training logs do.
+    A run is cut into blocks of its order. A block's rows are averaged as if nothing came before; what comes before adds the
+    last average of the blocks before, fading with every row. So a long run is many tasks' work, and only its blocks, one row
+    each, come together. Rows without a value are left out, equal orders are taken by value, a null run is a run.
     """
-    step = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    runs = df.where(F.col(value).isNotNull()).groupBy(run).agg(F.sort_array(F.collect_list(step)).alias("__s"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
-
-    def fold(acc, x):
-        now = F.coalesce(acc["last"] * (1 - alpha) + x["v"] * alpha, x["v"])
-        return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
-
-    runs = runs.withColumn("__e", F.aggregate("__s", start, fold)["all"])
-    pairs = F.explode(F.arrays_zip("__s", "__e"))
-    return runs.select(run, pairs.alias("__p")).select(run, F.col("__p.__s.o").alias(order), F.col("__p.__s.v").alias(value), F.col("__p.__e").alias(out))
+    kinds = dict(df.dtypes)
+    d = df.where(F.col(value).isNotNull()).select(run, order, F.col(value).cast("double").alias(value))
+    d = d.withColumn("__block", F.coalesce(block_of(d, F.col(order), rows), F.lit(-1)))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, value], kind="stable", na_position="first")
+        v, n = pdf[value].to_numpy(), len(pdf)
+        own, last = np.empty(n), 0.0
+        for i in range(n):
+            last += alpha * (v[i] - last)
+            own[i] = last
+        return pdf.assign(__own=own, __fade=(1 - alpha) ** np.arange(1, n + 1), __first=v[0], __n=n, __at=np.arange(1, n + 1))
+
+    fields = f"`{run}` {kinds[run]}, `{order}` {kinds[order]}, `{value}` double, __block int"
+    local = d.groupBy(run, "__block").applyInPandas(inside, f"{fields}, __own double, __fade double, __first double, __n bigint, __at bigint")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__block")
+        before, start = pdf["__first"].iloc[0], []
+        for own, fade in zip(pdf["__own"], pdf["__fade"]):
+            start.append(before)
+            before = own + fade * before
+        return pdf.assign(__start=start)[[run, "__block", "__start"]]
+
+    ends = local.where("__at = __n").groupBy(run).applyInPandas(chain, f"`{run}` {kinds[run]}, __block int, __start double")  # a row per block
+    ends = ends.select(F.col(run).alias("__run"), F.col("__block").alias("__b"), "__start")
+    done = local.join(ends, F.col(run).eqNullSafe(F.col("__run")) & (F.col("__block") == F.col("__b")))
+    return done.select(run, order, value, (F.col("__own") + F.col("__fade") * F.col("__start")).alias(out))
 
 
 def rebalance(df: DataFrame, cell: list[str], key: Column, cap: int, exempt: Column, seed: int = 0) -> DataFrame:

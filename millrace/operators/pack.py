@@ -41,7 +41,7 @@ def bin_pack(items: DataFrame, key: str, length: str, size: int, seed: int = 0,
 
     Items are dealt by a hash to groups of about ``group`` items, each packed alone by one task in hash order; a group leaves
     about one badly filled window. One group is the plain sequential method. Items without a length or longer than ``size``
-    are left out: filter or cut them before.
+    are left out; ``refused`` lists them.
     """
     d = items.where((F.col(length) >= 0) & (F.col(length) <= size)).select(F.col(key), F.col(length).cast("bigint").alias(length)).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     groups = max(1, -(-d.count() // group))
@@ -58,6 +58,13 @@ def bin_pack(items: DataFrame, key: str, length: str, size: int, seed: int = 0,
     return d.groupBy("pack_group").applyInPandas(run, f"`{key}` {kind}, `{length}` bigint, pack_group int, window_no bigint, position bigint")
 
 
+def refused(items: DataFrame, key: str, length: str, size: int) -> DataFrame:
+    """``key, length, drop_reason``: the items that ``bin_pack`` can't place, "no_length" or "too_long"."""
+    n = F.col(length)
+    reason = F.when(n.isNull() | (n < 0), "no_length").when(n > size, "too_long")
+    return items.select(F.col(key), n.cast("bigint").alias(length), reason.alias("drop_reason")).where("drop_reason is not null")
+
+
 def lay_out(packed: DataFrame, ids: str, mask: str, size: int, pad: int) -> DataFrame:
     """``pack_group, window_no, ids, mask``: the items' arrays one after the other, filled with ``pad`` and mask 0 up to ``size``."""
     ordered = F.sort_array(F.collect_list(F.struct("position", F.col(ids).alias("i"), F.col(mask).alias("m"))))

@@ -24,13 +24,20 @@ def first_fault(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(c, F.lit(name)) for c, name in checks])
 
 
-def record_fault(turns: Column, tools: Column, state: Column, memory: Column, bounds: tuple[Column, Column], final_answer: Column, needs_state: Column, needs_memory: Column) -> tuple[Column, Column]:
+def record_fault(turns: Column, tools: Column | None, state: Column, memory: Column, bounds: tuple[Column, Column], final_answer: Column, needs_state: Column, needs_memory: Column) -> tuple[Column, Column]:
     """The first fault of a record, and the fault inside a turn that the mark ``__turn`` stands for, in the order: turns, number of turns, each turn's reasoning and calls, last call, state, memory.
 
-    Turns are looked at one after the other, each one's reasoning before its calls: the earliest fault counts, whatever its kind.
+    Turns are looked at one after the other, each one's reasoning before its calls, and each call against the tools offered: its
+    shape, its name, its arguments. The earliest fault counts, whatever its kind. Without ``tools`` calls only have to be there.
     """
     said = assistant_turns(turns)
-    per_turn = F.transform(said, lambda t: F.coalesce(text.think_fault(F.coalesce(t["think"], F.lit(""))), F.when(t["calls"].isNull(), "no_calls")))
+    reasoning = F.transform(said, lambda t: text.think_fault(F.coalesce(t["think"], F.lit(""))))
+    if tools is None:
+        calls = F.transform(said, lambda t: F.when(t["calls"].isNull(), "no_calls"))
+    else:
+        found = jsonx.turn_faults(F.transform(said, lambda t: t["calls"]), tools)
+        calls = F.transform(found, lambda f: F.when(f.isin("no_response", "empty_calls"), "no_calls").otherwise(f))
+    per_turn = F.zip_with(reasoning, calls, lambda a, b: F.coalesce(a, b))
     early = F.get(F.filter(per_turn, lambda x: x.isNotNull()), F.lit(0))
     last = F.try_element_at(said, F.lit(-1))["calls"]
     ends = F.size(F.from_json(last, "array<struct<name:string>>")) != 1
@@ -49,6 +56,14 @@ def record_fault(turns: Column, tools: Column, state: Column, memory: Column, bo
     ), early
 
 
+def refuse_paired(specs: dict[str, bool], category: str) -> None:
+    """An error for a paired category: its records are accepted or refused in pairs, by ``pairs.pair_faults``, never one by one. ``specs``: whether a category is paired."""
+    if category not in specs:
+        raise KeyError(f"unknown category {category!r}: one of {', '.join(sorted(specs))}")
+    if specs[category]:
+        raise ValueError(f"category {category!r} is paired: its branches are judged together")
+
+
 def with_record_fault(df: DataFrame, out: str, **columns) -> DataFrame:
     """``record_fault`` as a column: the fault inside a turn takes the place of its mark."""
     fault, early = record_fault(**columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import render, text
 from millrace.operators import dedup, diagnose, mixture, order, pack, pairs, split, validate
+from millrace.sources import readers
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ def pretraining(documents: DataFrame, budgets: DataFrame, cfg: CorpusConfig) ->
     ``budgets`` is ``config_id, source, budget, epochs`` in tokens of the byte tokenizer; it has a row per recipe and source, each
     recipe is a corpus of its own. A source whose budget is larger than its documents is gone through up to ``epochs`` times.
     """
-    d = documents.where((F.length("text") > 0) & (F.col("int_score").isNull() | (F.col("int_score") >= cfg.least_tier)))
+    d = readers.tier_scan(documents, cfg.least_tier)  # a null tier is below all
     d = d.select("source", "doc_id", F.octet_length("text").cast("bigint").alias("__n"))
     have = d.groupBy("source").agg(F.sum("__n").alias("have"))
     plan = budgets.join(have, "source", "left").withColumn("actual", F.col("have") * F.col("epochs"))

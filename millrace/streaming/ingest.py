@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,7 +26,9 @@ def ingest(stream: DataFrame, budgets: DataFrame, target: str, checkpoint: str,
         try:
             done = batch.sparkSession.read.parquet(target).where(F.col("batch_no") < number)
             have = done.groupBy(source).agg(F.sum("taken").alias("__have"))
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch finds nothing
+                raise
             have = batch.sparkSession.createDataFrame([], f"{source} string, __have bigint")
         left = budgets.join(have, source, "left").select(source, (F.col("budget") - F.coalesce("__have", F.lit(0))).alias("__left"))
         rows = token_budget(batch.join(left, source), source, order, tokens, F.col("__left")).drop("__left", "before")

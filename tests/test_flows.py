@@ -60,7 +60,7 @@ def test_driver_side_helpers(spark):
         text.satisfies("1", "~1")
     assert [len(b) for b in readers.loader(spark.range(10), 4)] == [4, 4] and sum(len(b) for b in readers.loader(spark.range(10), 4, False)) == 10
     assert readers.config_differences({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 1.0, "c": 2}, "e": 1}) == ["a.b", "d", "e"]
-    assert pack.steps(10, 3, 4) == 7 and pack.steps(0, 1, 4) == 1 and pack.missing_tokens({"<pad>": 0}, render.SPECIAL[:2]) == ["<bos>"]
+    assert pack.steps(10, 3, 4) == 7 and pack.steps(0, 1, 4) == 1 and pack.missing_tokens({"<tool>": 0}, render.SPECIAL[:2]) == ["</tool>"] and len(render.SPECIAL) == 14
 
 
 def test_probe_files(spark, tmp_path, rows):
@@ -132,6 +132,17 @@ def test_budgeted_ingest_resumes(spark, tmp_path):
     assert got == {"a": 35, "b": 60}
 
 
+def test_ingest_ends_when_what_was_taken_cannot_be_read(spark, tmp_path):
+    """An unreadable file among the earlier batches is an error, not an empty start that would spend the budget twice."""
+    budgets = spark.createDataFrame([("a", 35)], "source string, budget bigint")
+    spark.createDataFrame([("a", 1, 10)], "source string, pos bigint, n int").write.parquet(f"{tmp_path}/in")
+    (tmp_path / "out" / "batch_no=0").mkdir(parents=True)
+    (tmp_path / "out" / "batch_no=0" / "part-0.parquet").write_text("no parquet")
+    s = spark.readStream.schema("source string, pos bigint, n int").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception):
+        ingest.ingest(s, budgets, f"{tmp_path}/out", f"{tmp_path}/cp", "source", "pos", F.col("n")).awaitTermination()
+
+
 def run(stream, name, mode="append"):
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 

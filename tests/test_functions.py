@@ -29,7 +29,11 @@ def test_four_score_parsers(spark):
     x = F.col("x")
     modes = [text.score(x, m) for m in ("first_digit", "clamped", "rejected", "last_digit")]
     assert one(spark, "SCORE: 45", *modes) == (4, 5, -1, -1)
-    assert one(spark, "score 3 of 5", *modes) == (3, 3, 3, 3)
+    assert one(spark, "the score is 3 of 5", *modes) == (None, -1, -1, -1)  # only what stands behind "SCORE:" counts
+    assert one(spark, "score : 3", *modes) == (3, -1, -1, -1) and one(spark, "Score:\n2", *modes) == (2, 2, 2, 2)
+    assert one(spark, "SCORE: 99999999999999999999", *modes)[1:3] == (5, -1)
+    assert one(spark, "SCORE: 3</think> none here", *modes)[3] == 3
+    assert one(spark, "REASON: short  \nSCORE: 3", text.score_reason(x)) == ("short",) and one(spark, "none", text.score_reason(x)) == (None,)
     assert one(spark, "nothing", *modes) == (None, -1, -1, -1)
     assert one(spark, "Score: 1 </think> Score: 2 Score: 4", *modes)[3] == 4
     with pytest.raises(ValueError):
@@ -76,6 +80,7 @@ def test_pointers(spark):
     x = F.col("x")
     get = lambda p: one(spark, doc, jsonx.pointer_get(x, F.lit(p)), jsonx.pointer_exists(x, F.lit(p)))
     assert get("/b/0/id") == ("1", True) and get("/b/0/off") == ("null", True) and get("/b/1") == (None, False) and get("/a~1b/~0") == ("2", True) and get("b") == (None, False)
+    assert all(get(f"/b/{t}") == (None, False) for t in ("²", "--1", "-1", "+0", "٣", "0x0", "9" * 30, ""))
     put = lambda p: one(spark, doc, jsonx.pointer_put(x, F.lit(p), F.lit("false")))[0]
     assert json.loads(put("/b/0/off"))["b"][0]["off"] is False and put("/b/0/new") is None and put("") is None
     assert one(spark, '{"a":[1,2],"b":true,"c":{"d":1}}', jsonx.diff_paths(x, F.lit('{"a":[1],"b":1,"c":{"d":1,"e":2}}'))) == (["/a", "/b", "/c/e"],)

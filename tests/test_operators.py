@@ -1,4 +1,5 @@
 import collections
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.functions import stats
 from millrace.operators import components, dedup, diagnose, mixture, order, pack, pairs, skew, split, validate
 from millrace.operators.components import connected_components
 
@@ -193,7 +195,7 @@ GOOD = "a reason that is long enough"
 
 def fault(spark, turns, state=None, memory=None, **options):
     o = {"bounds": (F.lit(1), F.lit(2)), "final_answer": F.lit(False), "needs_state": F.lit(False), "needs_memory": F.lit(False)} | options
-    d = spark.createDataFrame([("i", "[]", state, memory, turns)], TURN)
+    d = spark.createDataFrame([("i", '[{"name":"f","parameters":[]}]', state, memory, turns)], TURN)
     return validate.with_record_fault(d, "f", turns=F.col("turns"), tools=F.col("tools"), state=F.col("state"), memory=F.col("memory"), **o).first().f
 
 
@@ -251,6 +253,57 @@ def test_judges(spark):
     assert got["x"].n == 3 and got["x"].mean == 4.5 and got["x"].distribution == {4: 1, 5: 1} and got["y"].unparsed_rate == 0
 
 
+def test_moving_average_in_blocks_is_the_plain_one(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b", None]), rng.randrange(400), rng.random() * 9) for _ in range(700)]
+    got = {}
+    for r in order.ema(spark.createDataFrame(data, "run string, step int, v double"), "run", "step", "v", 0.3, rows=40).collect():
+        got.setdefault(r.run, []).append((r.step, r.v, r.ema))
+    for run in ("a", "b", None):
+        last = None
+        for (_, step, v), (s, x, e) in zip(sorted((r for r in data if r[0] == run), key=lambda r: r[1:]), sorted(got[run])):
+            last = v if last is None else last + 0.3 * (v - last)
+            assert (step, v) == (s, x) and abs(e - last) < 1e-9
+
+
+def test_ranks_in_blocks_are_the_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(order, "BLOCK_ROWS", 30)
+    rng = random.Random(5)
+    data = [(i, rng.choice([rng.randrange(300), 7, None])) for i in range(600)]
+    got = {r.i: r.r for r in stats.average_rank(spark.createDataFrame(data, "i int, v int"), "v", "r").collect()}
+    values = sorted(v for _, v in data if v is not None)
+    for i, v in data:
+        assert got[i] == (None if v is None else values.index(v) + (values.count(v) + 1) / 2)
+
+
+def test_items_that_fit_no_window_are_named(spark, rows):
+    d = spark.createDataFrame([("a", 5), ("b", 17), ("c", None), ("d", -1), ("e", 16)], "id string, n int")
+    assert rows(pack.refused(d, "id", "n", 16)) == [("b", 17, "too_long"), ("c", None, "no_length"), ("d", -1, "no_length")]
+
+
+def test_paired_categories_refuse_a_verdict_on_one_record():
+    validate.refuse_paired({"x": False, "p": True}, "x")
+    with pytest.raises(ValueError, match="paired"):
+        validate.refuse_paired({"x": False, "p": True}, "p")
+    with pytest.raises(KeyError, match="one of p, x"):
+        validate.refuse_paired({"x": False, "p": True}, "y")
+
+
+def test_calls_of_every_turn_are_checked(spark):
+    typed = '[{"name":"buy","parameters":{"properties":{"good":{"type":"string"},"n":{"type":"integer"}},"required":["good"]}},{"name":"look","parameters":["at"]}]'
+    call = lambda name, **a: json.dumps([{"name": name, "arguments": a}])
+    turn = lambda calls, think=GOOD: ("assistant", None, think, calls, None)
+    tool = ("tool", None, None, None, "{}")
+    bad = [(call("sell"), "undefined_tool"), (call("buy", n=1), "missing_required_arg"), (call("buy", good="x", m=1), "unknown_arg"), (call("buy", good="x", n="1"), "bad_arg_type"), (call("buy", good="x", n=True), "bad_arg_type"), ("[]", "no_calls"), ("no json", "no_calls"), ('[{"nome":1}]', "bad_shape"), ('[{"name":"buy","arguments":3}]', "bad_shape")]
+    cases = [([turn(call("buy", good="x", n=1)), tool, turn(call("look", at=1)), tool, turn(call("answer", text="t"))], None)]
+    cases += [([turn(call("buy", good="x")), tool, turn(c)], f) for c, f in bad]
+    cases += [([turn(call("sell")), tool, turn("[]", "short")], "undefined_tool"), ([turn(call("sell"), "short"), tool, turn("[]")], "empty_think")]
+    d = spark.createDataFrame([(str(i), typed, None, None, t) for i, (t, _) in enumerate(cases)], TURN)
+    o = {"bounds": (F.lit(1), F.lit(3)), "final_answer": F.lit(False), "needs_state": F.lit(False), "needs_memory": F.lit(False)}
+    got = validate.with_record_fault(d, "f", turns=F.col("turns"), tools=F.col("tools"), state=F.col("state"), memory=F.col("memory"), **o).collect()
+    assert {int(r.id): r.f for r in got} == {i: f for i, (_, f) in enumerate(cases)}
+
+
 def test_moving_average_and_retention(spark):
     d = spark.createDataFrame([("r", 2, 2.0), ("r", 1, 1.0), ("r", 3, None), ("q", 1, 5.0)], "run string, step int, v double")
     assert {(r.run, r.step): r.ema for r in order.ema(d, "run", "step", "v", 0.5).collect()} == {("r", 1): 1.0, ("r", 2): 1.5, ("q", 1): 5.0}
