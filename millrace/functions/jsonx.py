@@ -222,6 +222,20 @@ def _arrow(kind, f: Callable) -> Callable[..., Column]:
     return F.pandas_udf({1: one, 2: two, 3: three}[n], kind)
 
 
+def _first_arguments(calls) -> dict:
+    c = _calls(calls)
+    arguments = c[0].get("arguments") if c else None
+    return arguments if isinstance(arguments, dict) else {}
+
+
+def _string_arguments(calls):
+    return [v for v in _first_arguments(calls).values() if isinstance(v, str)]
+
+
+def _argument_values(calls):
+    return [str(v) for v in _first_arguments(calls).values()]
+
+
 _STRING, _STRINGS, _BOOL = T.StringType(), T.ArrayType(T.StringType()), T.BooleanType()
 
 
@@ -281,6 +295,9 @@ canonical_calls = _arrow(_STRINGS, _canonical)
 lexical_calls = _arrow(_STRINGS, _lexical)
 #: Names of the calls.
 call_names = _arrow(_STRINGS, _names)
+#: Arguments of the first call that are texts, and all of them as text.
+string_arguments = _arrow(_STRINGS, _string_arguments)
+argument_values = _arrow(_STRINGS, _argument_values)
 #: (calls, tools): null if all calls fit the tools, else the first fault.
 calls_fault = _arrow(_STRING, _calls_fault)
 #: (calls of several turns, tools): the fault of each.

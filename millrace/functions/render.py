@@ -49,6 +49,47 @@ def joined(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: s["text"]), "")
 
 
+def record_example(turns: Column, memory: Column) -> Column:
+    """A checked record as an example: ``struct<user, thinks, calls, results, memory>``, texts stripped, memory numbered lines or null where nothing is remembered."""
+    said = F.filter(turns, lambda t: t["role"] == "assistant")
+    of = lambda field, rows: F.transform(rows, lambda t: t[field])
+    m = F.from_json(memory, "struct<recent:array<string>,last_results:array<string>>")
+    lines = F.concat(F.coalesce(m["recent"], F.array()), F.coalesce(m["last_results"], F.array()))
+    user = F.get(F.filter(turns, lambda t: t["role"] == "user"), F.lit(0))["text"]
+    return F.struct(
+        strip(user).alias("user"),
+        F.transform(of("think", said), strip).alias("thinks"),
+        of("calls", said).alias("calls"),
+        of("result", F.filter(turns, lambda t: t["role"] == "tool")).alias("results"),
+        F.when(F.size(lines) > 0, memory_block(lines)).alias("memory"),
+    )
+
+
+def first_calls_of(turns: Column) -> Column:
+    """The calls of the first assistant turn: what a reply is expected to be."""
+    return F.get(F.filter(turns, lambda t: t["role"] == "assistant"), F.lit(0))["calls"]
+
+
+def turn_signature(turns: Column) -> Column:
+    """The user's text and the names of all calls in order: a light key for turns that ask the same and call the same."""
+    user = F.get(F.filter(turns, lambda t: t["role"] == "user"), F.lit(0))["text"]
+    names = F.flatten(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: F.coalesce(F.transform(F.from_json(t["calls"], "array<struct<name:string>>"), lambda c: F.coalesce(c["name"], F.lit("None"))), F.array())))
+    return F.concat(strip(F.coalesce(user, F.lit(""))), F.lit(" || "), F.array_join(names, " "))
+
+
+def scored_share(parts: Column) -> Column:
+    """Bytes of the scored segments by bytes of all; null for an empty document."""
+    size = lambda keep: F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, s: a + F.when(keep(s), F.octet_length(s["text"])).otherwise(0))
+    return F.try_divide(size(lambda s: s["scored"]).cast("double"), size(lambda s: F.lit(True)))
+
+
+def changed_lines(a: Column, b: Column) -> Column:
+    """Numbers, from 1, of the lines in which two texts differ; lines that only one has count."""
+    x, y = F.split(a, "\n"), F.split(b, "\n")
+    n = F.greatest(F.size(x), F.size(y))
+    return F.filter(F.sequence(F.lit(1), n), lambda i: ~F.get(x, i - 1).eqNullSafe(F.get(y, i - 1)))
+
+
 def prompt(parts: Column) -> Column:
     """The document up to the first scored segment."""
     ends = F.array_position(F.transform(parts, lambda s: s["scored"]), True)

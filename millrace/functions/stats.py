@@ -88,6 +88,21 @@ def warm_cosine(step: Column, total: int, warmup: int, peak: float, floor: float
     return F.when(step < warmup, F.lit(peak) * (step + 1) / F.lit(float(max(1, warmup)))).otherwise(fall)
 
 
+#: Dense BF16 peak of devices in TFLOPS; the first name that stands in a device's name, in capitals, counts. Fixed values.
+PEAKS = (("RTX PRO 6000", 500.0), ("H100 SXM", 989.0), ("H100 NVL", 989.0), ("H100", 756.0), ("A100", 312.0), ("RTX 6000 ADA", 182.0), ("L40", 181.0), ("L4", 121.0), ("V100", 125.0), ("A10", 125.0), ("T4", 65.0))
+DEFAULT_PEAK = 989.0
+
+
+def peak_tflops(device: Column) -> Column:
+    """The peak of a device by its name; that of the usual one if it isn't known."""
+    name = F.regexp_replace(F.upper(device), "[_ -]+", " ")
+    h100 = name.contains("H100") & (name.contains("SXM") | name.contains("NVL"))
+    blackwell = name.contains("RTX 6000") & name.contains("BLACKWELL")
+    ada = name.contains("RTX 6000") & name.contains("ADA")
+    first = F.when(blackwell, PEAKS[0][1]).when(h100, PEAKS[1][1]).when(ada, 182.0)
+    return F.coalesce(first, *[F.when(name.contains(n), F.lit(v)) for n, v in PEAKS], F.lit(DEFAULT_PEAK))
+
+
 def mfu(tokens_per_second: Column, parameters: Column, peak_tflops: Column) -> Column:
     """Percent of a device's peak that training at a speed uses: six operations for each parameter and token."""
     return F.try_divide(tokens_per_second * parameters * 6 / F.lit(1e12) * 100, peak_tflops)

@@ -11,6 +11,7 @@ from millrace.functions import jsonx, render, stats, text
 from millrace.functions.names import LANG_ALIASES, MISSING_WORDS, key, lang
 from millrace.operators import dedup, diagnose, mixture, order, pack, pairs, split, validate
 from millrace.operators.components import connected_components
+from millrace.operators.skew import lookup
 from millrace.plans import corpus
 from millrace.sources import readers
 from millrace.sources.tables import table
@@ -90,8 +91,7 @@ def plain_names(spark, d):
 @query("select id, case when trim(coalesce(request, '')) = '' then null when trim(coalesce(state, '')) = '' then request else state || chr(10) || chr(10) || request end doc from requests")
 def join_parts_render(spark, d):
     r = table(spark, d, "requests")
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    doc = F.when(blank(F.col("request")), None).when(blank(F.col("state")), F.col("request")).otherwise(F.concat("state", F.lit("\n\n"), "request"))
+    doc = render.chat_document(F.col("state"), F.col("request"))
     return r.select("id", doc.alias("doc"))
 
 
@@ -136,11 +136,20 @@ def canonical_replies(spark, d):
     return o.select("output_id", "loaded_utc", jsonx.canonical_calls(text.response(F.col("response"))).alias("calls"), jsonx.first_calls(F.col("response")).alias("first"))
 
 
-@query("""select output_id, loaded_utc, nullif(regexp_extract(reason, '(?i)score\\D{0,10}?([0-5])', 1), '')::int first_digit,
-case when regexp_extract(reason, '(?i)score\\D{0,10}?(\\d{1,9})', 1) = '' then -1 else least(regexp_extract(reason, '(?i)score\\D{0,10}?(\\d{1,9})', 1)::int, 5) end clamped from outputs where reason is not null""")
+_REPLY = "coalesce(response, '') || ['SCORE: ', 'the score is ', 'Score : ', 'score:' || chr(10), 'SCORE: 1' || chr(10) || 'Score: '][output_id % 5 + 1] || coalesce(case when output_id % 7 = 0 then score * 3 else score end::varchar, 'none') || chr(10) || 'REASON: ' || coalesce(reason, '')"
+
+
+@query(f"""with r as (select output_id, loaded_utc, {_REPLY} x from outputs)
+select output_id, loaded_utc, nullif(regexp_extract(x, '(?i)SCORE\\s*:\\s*([0-5])', 1), '')::int first_digit, case when regexp_extract(x, '(?i)SCORE:\\s*(\\d+)', 1) = '' then -1 else least(regexp_extract(x, '(?i)SCORE:\\s*(\\d+)', 1)::int, 5) end clamped,
+case when regexp_extract(x, '(?i)SCORE:\\s*(\\d+)', 1) = '' or regexp_extract(x, '(?i)SCORE:\\s*(\\d+)', 1)::int > 5 then -1 else regexp_extract(x, '(?i)SCORE:\\s*(\\d+)', 1)::int end rejected,
+coalesce(regexp_extract_all(string_split(x, '</think>')[-1], '(?i)SCORE:\\s*([0-5])\\b', 1)[-1]::int, regexp_extract_all(x, '(?i)SCORE:\\s*([0-5])\\b', 1)[-1]::int, -1) last_digit from r""")
 def score_parsers(spark, d):
-    o = table(spark, d, "outputs").where("reason is not null")
-    return o.select("output_id", "loaded_utc", text.score(F.col("reason")).alias("first_digit"), text.score(F.col("reason"), "clamped").alias("clamped"))
+    """The four parsers on replies as judges write them, rendered from responses, scores and reasons."""
+    o = table(spark, d, "outputs")
+    said = F.get(F.array(*[F.lit(x) for x in ("SCORE: ", "the score is ", "Score : ", "score:\n", "SCORE: 1\nScore: ")]), (F.col("output_id") % 5).cast("int"))
+    number = F.when(F.col("output_id") % 7 == 0, F.col("score") * 3).otherwise(F.col("score")).cast("string")
+    reply = F.concat(F.coalesce("response", F.lit("")), said, F.coalesce(number, F.lit("none")), F.lit("\nREASON: "), F.coalesce("reason", F.lit("")))
+    return o.select("output_id", "loaded_utc", reply.alias("x")).select("output_id", "loaded_utc", *[text.score(F.col("x"), m).alias(m) for m in text.SCORE_PATTERNS])
 
 
 @query("""with o as (select *, strpos(response, '<think>') s from outputs)
@@ -241,11 +250,16 @@ def plan_category_counts(spark, d):
     return mixture.plan_counts(table(spark, d, "category_specs"), 30_000)
 
 
+def binpack_items(spark, d):
+    """Examples with their number of words."""
+    words = text.word_count(F.array_join(F.transform("turns", lambda t: F.coalesce(t["text"], t["think"], F.lit(""))), " "))
+    return table(spark, d, "examples").groupBy("id").agg(F.max(words).cast("bigint").alias("n"))
+
+
 @query()
 def binpack(spark, d):
     """Whole examples in windows of 1,024 words."""
-    e = table(spark, d, "examples").groupBy("id").agg(F.max(text.word_count(F.array_join(F.transform("turns", lambda t: F.coalesce(t["text"], t["think"], F.lit(""))), " "))).alias("n"))
-    return pack.bin_pack(e, "id", "n", 1024)
+    return pack.bin_pack(binpack_items(spark, d), "id", "n", 1024)
 
 
 @query()
@@ -295,7 +309,8 @@ def minhash_group_dedup(spark, d):
 @query("select id, case when row_number() over (partition by seed_topic order by id, loaded_utc) = 1 then true else false end kept, loaded_utc from requests where seed_topic is not null")
 def exact_first_wins(spark, d):
     r = table(spark, d, "requests").where("seed_topic is not null").select("id", "seed_topic", "loaded_utc")
-    return r.withColumn("kept", F.row_number().over(Window.partitionBy("seed_topic").orderBy("id", "loaded_utc")) == 1).drop("seed_topic")
+    first = r.groupBy("seed_topic").agg(F.min(F.struct("id", "loaded_utc")).alias("first"))
+    return lookup(r, first, "seed_topic").select("id", (F.struct("id", "loaded_utc") == F.col("first")).alias("kept"), "loaded_utc")
 
 
 @query(f"""with d as (select doc_id, {_key('source')} source, md5(text) f, doc_id = min(doc_id) over (partition by md5(text)) k from documents),
@@ -304,7 +319,7 @@ select source, sum(n)::bigint n, sum(k)::bigint kept, sum(k)::bigint / sum(n)::d
 def fingerprint_exact_dups(spark, d):
     docs = table(spark, d, "documents").select("doc_id", key(F.col("source")).alias("source"), F.md5("text").alias("f"))
     first = docs.groupBy("f").agg(F.min(F.struct("doc_id", "source")).alias("first"))
-    k = docs.join(first, "f").select("source", "f", (F.col("doc_id") == F.col("first.doc_id")).alias("k"))
+    k = lookup(docs, first, "f").select("source", "f", (F.col("doc_id") == F.col("first.doc_id")).alias("k"))
     return diagnose.dedup_forensics(k, ["source"], F.col("f"), F.col("k"))
 
 
@@ -629,7 +644,7 @@ def preference_tally(spark, d):
 
 @query("select event_id from (select event_id, row_number() over (partition by event_type, user_id order by ts, event_id) r, 1 + user_id % 3 c from events) where r <= c")
 def cap_per_cell(spark, d):
-    return order.cap_per_cell(table(spark, d, "events"), ["event_type", "user_id"], ["ts", "event_id"], 1 + F.col("user_id") % 3).select("event_id")
+    return order.cap_per_cell(table(spark, d, "events"), ["event_type", "user_id"], ["ts", "event_id"], 1 + F.col("user_id") % 3, most=3).select("event_id")
 
 
 @query("select event_id, event_type from (select *, row_number() over (partition by event_type order by ts, event_id) r from events) where r <= 12")
@@ -661,7 +676,7 @@ def running_distinct(spark, d):
 @query()
 def ema(spark, d):
     """A moving average of values by user."""
-    return order.ema(table(spark, d, "events"), "user_id", "event_id", "value")
+    return order.ema(table(spark, d, "events"), "user_id", "event_id", "value").withColumn("ema", F.round("ema", 9))
 
 
 @query("select user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) step_us from events")
@@ -775,3 +790,6 @@ def evaluation_cells(spark, d):
 def hourly_events(spark, d):
     e = table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return e.select(F.col("window.start").alias("window_start"), "event_type", "n")
+
+
+from millrace import queries_reports as _reports  # noqa: E402, F401  registers its queries

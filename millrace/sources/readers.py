@@ -40,6 +40,16 @@ def in_sequence(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def write_partitioned(rows: DataFrame, path: str, by: str) -> None:
+    """A table with a folder for every value of ``by``, rows of a value in several files where they are many."""
+    rows.repartition(by, F.pmod(F.xxhash64(*[c for c in rows.columns if c != by]), F.lit(8))).write.partitionBy(by).parquet(path)
+
+
+def partition_scan(spark: SparkSession, path: str, by: str, values: list[str]) -> DataFrame:
+    """Rows of some values of a partitioned table; folders of others are not read."""
+    return spark.read.parquet(path).where(F.col(by).isin(*values))
+
+
 class Sources:
     """Named readers; an unknown name is an error that lists the known ones."""
 

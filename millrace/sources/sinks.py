@@ -8,7 +8,7 @@ import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,46 @@ def write_json(doc: dict, path: str) -> None:
     os.replace(t, p)
 
 
+def restore_if_absent(spark: SparkSession, remote: str, local: str) -> bool:
+    """Copy a folder or file to where it is missing, under a name of its own first, so that a copy that breaks off is never taken for a whole one. Whether it was copied; an error if both are missing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (local, remote))
+    fs, source = here.getFileSystem(conf), there.getFileSystem(conf)
+    if fs.exists(here):
+        return False
+    if not source.exists(there):
+        raise FileNotFoundError(f"neither {local} nor {remote} is there")
+    part = jvm.org.apache.hadoop.fs.Path(f"{local}.part-{uuid.uuid4().hex}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source, there, fs, part, False, conf)
+    if source.getContentSummary(there).getLength() != fs.getContentSummary(part).getLength():
+        fs.delete(part, True)
+        raise ShortWrite(f"{remote}: the copy is not as long")
+    return bool(fs.rename(part, here))
+
+
+def write_diagnostics(report: dict[str, DataFrame], generations: DataFrame, root: str, most: int = 10_000) -> None:
+    """Every generation as JSON lines under ``generations``, and the small tables of a report, at most ``most`` rows each, as one document."""
+    generations.write.mode("overwrite").json(f"{root}/generations")
+    tables = {}
+    for name, df in report.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows: it is no report")
+        tables[name] = [r.asDict(recursive=True) for r in rows]
+    lines = [json.dumps(tables, ensure_ascii=False, sort_keys=True, default=str)]
+    generations.sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/report")
+
+
+def write_corpus(windows: DataFrame, slots: DataFrame, root: str, keys: list[str]) -> int:
+    """Windows with their slot, in ranges of it, and a manifest beside them that is written last: a corpus without one is not finished. The number of windows' parts."""
+    done = windows.join(slots, keys)
+    n = write_verified(done.repartitionByRange("slot").sortWithinPartitions("slot"), f"{root}/combined")
+    by = [k for k in keys if k != "window_id"]
+    manifest = done.groupBy(*by).agg(F.countDistinct("window_id").alias("windows"), F.sum("taken").alias("tokens"))
+    manifest.coalesce(1).write.mode("error").json(f"{root}/manifest")
+    return n
+
+
 def integrity(claimed: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """``source, claimed, local, remote, status``: what the manifest says against what is there. All three are ``source, tokens``."""
     d = claimed.select("source", F.col("tokens").alias("claimed"))

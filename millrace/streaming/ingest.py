@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.operators.dedup import signatures
 from millrace.operators.order import token_budget
 
 
@@ -63,6 +65,38 @@ def moving_average(stream: DataFrame, run: str, order: str, value: str, alpha: f
     return d.groupBy(run).applyInPandasWithState(step, f"{run} {kinds[run]}, {order} {kinds[order]}, {value} {kinds[value]}, ema double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def near_duplicates(stream: DataFrame, key: str, text: Column, threshold: float = 0.85, n: int = 128, bands: int = 16) -> DataFrame:
+    """``key, band, duplicate_of``: of every text and each of its bands, the earlier text in the band that it nearly repeats, or null.
+
+    The signatures kept in each band are the state. A text is a duplicate if any of its bands says so; bands are looked at one
+    by one, so a text that was dropped in one band may be kept in another, where it drops later ones: the batch operator is exact.
+    """
+    rows = n // bands
+    sig = stream.select(F.col(key).cast("string").alias(key), signatures(text, n).alias("sig"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("sig", i * rows + 1, rows)).alias("h"))))
+    banded = sig.select(key, "sig", cell.alias("c")).select(key, "sig", "c.band", "c.h")
+
+    def step(at: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, kept = (list(state.get[0]), [np.array(s) for s in state.get[1]]) if state.exists else ([], [])
+        out = []
+        for i, band, s in _ordered(parts, key):
+            s = np.asarray(s)
+            same = next((ids[k] for k, x in enumerate(kept) if (x == s).mean() >= threshold), None)
+            if same is None:
+                ids.append(i)
+                kept.append(s)
+            out.append((i, band, same))
+        state.update((ids, [s.tolist() for s in kept]))
+        yield pd.DataFrame(out, columns=[key, "band", "duplicate_of"])
+
+    return banded.groupBy("h").applyInPandasWithState(step, f"`{key}` string, band int, duplicate_of string", "ids array<string>, kept array<array<bigint>>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _ordered(parts: Iterator[pd.DataFrame], key: str) -> list[tuple]:
+    rows = pd.concat(list(parts)).sort_values([key, "band"], kind="stable")
+    return list(zip(rows[key], rows["band"].astype(int), rows["sig"]))
+
+
 def windowed(stream: DataFrame, time: str, length: str, delay: str, by: list[str], **aggregates: Column) -> DataFrame:
     """Aggregates of event-time windows; rows more than ``delay`` late are dropped by the watermark."""
     w = stream.withWatermark(time, delay).groupBy(F.window(time, length), *by).agg(*[c.alias(n) for n, c in aggregates.items()])

@@ -28,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: one computation, short lineage, compressed."""
+def materialise(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: one computation, short lineage, compressed; with ``by``, in a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w if by is None else w.partitionBy(by)).parquet(path)
     _WRITTEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._step = path
