@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import ASCII_WORDS
+from millrace.llm.words import word_hashes
 from millrace.workspace import materialise
 
 #: Characters without width that are removed before words are read. Fixed values.
@@ -29,13 +29,14 @@ K1, B = 1.2, 0.75
 ENOUGH = 0.999
 
 
+def plain(text: str | None) -> str:
+    """Without characters without width, after NFKC."""
+    return text if not text or text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+
+
 def words(text: str | None) -> list[str]:
     """Runs of letters and digits after removing characters without width, NFKC and lower-casing."""
-    if not text:
-        return []
-    if text.isascii():
-        return text.encode().translate(ASCII_WORDS).decode().split()
-    return _WORD.findall(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower())
+    return _WORD.findall(plain(text).lower()) if text else []
 
 
 @dataclass
@@ -48,7 +49,8 @@ class Index:
 
     run: int
     ids: np.ndarray
-    vocabulary: dict[str, int]
+    word_hashes: np.ndarray  # sorted
+    word_terms: np.ndarray
     end: np.ndarray  # of each term's list
     at: np.ndarray
     impact: np.ndarray
@@ -60,6 +62,11 @@ class Index:
     runs: np.ndarray  # distinct runs of each item
     answers: list[str | None]
 
+    def terms(self, hashes: np.ndarray) -> np.ndarray:
+        """Terms of words by their hashes, -1 for a word that no item has."""
+        at = np.minimum(np.searchsorted(self.word_hashes, hashes), len(self.word_hashes) - 1)
+        return np.where(self.word_hashes[at] == hashes, self.word_terms[at], -1)
+
 
 _MUL, _ITEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -117,7 +124,9 @@ def build_index(items: list[tuple[int, str | None, str | None]], run: int) -> In
     list_max[:-1] = np.maximum.reduceat(block_max, (block_end - blocks)[:-1])
     keys = [np.unique(_mixed(_runs(t, run), np.full(len(t) - run + 1, k))) for k, t in enumerate(terms)]
     answers = [" ".join(["", *w, ""]) if (w := words(answer)) else None for _, _, answer in docs]
-    return Index(run, np.array([i for i, _, _ in docs], np.int64), vocabulary, end, at, impact, list_max, block_end, at[last], block_max, np.sort(np.concatenate(keys)), np.array([len(k) for k in keys]), answers)
+    hashed = word_hashes(list(vocabulary))[0]
+    by_hash = np.argsort(hashed)
+    return Index(run, np.array([i for i, _, _ in docs], np.int64), hashed[by_hash], by_hash, end, at, impact, list_max, block_end, at[last], block_max, np.sort(np.concatenate(keys)), np.array([len(k) for k in keys]), answers)
 
 
 def _passages(flat: np.ndarray, doc: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,16 +178,21 @@ def retrieve(index: Index, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pivot = np.take_along_axis(item, np.take_along_axis(order, (sums >= ENOUGH).argmax(axis=1)[:, None], axis=1), axis=1)
         before = item <= pivot
         goal = t * n + pivot
-        b = np.searchsorted(index.block_at, goal)
+        b = np.full(t.shape, len(index.block_at))
+        b[before] = np.searchsorted(index.block_at, goal[before])
         held = before & (b < index.block_end[t])
         scored = np.where(held, block_max[b], 0.0).sum(axis=1) >= ENOUGH
-        p = np.searchsorted(index.at, goal[scored])
-        score = np.where(before[scored] & (most[p] == goal[scored]), impact[p], 0.0).sum(axis=1)
+        full = before & scored[:, None]
+        p = np.searchsorted(index.at, goal[full])
+        score = np.zeros(t.shape)
+        score[full] = np.where(most[p] == goal[full], impact[p], 0.0)
+        score = score[scored].sum(axis=1)
         hit = score >= ENOUGH
         found.append((alive[scored][hit], pivot[scored, 0][hit]))
         behind = np.minimum(np.where(held, block_most[b] - t * n, n).min(axis=1) + 1, np.where(before, n, item).min(axis=1))
         target = np.where(scored, pivot[:, 0] + 1, np.minimum(behind, n))
-        cursor[alive] = np.where(before, np.searchsorted(index.at, t * n + target[:, None]), c)
+        c[before] = np.searchsorted(index.at, (t * n + target[:, None])[before])
+        cursor[alive] = c
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([p for p, _ in found]), np.concatenate([i for _, i in found])
@@ -220,14 +234,13 @@ LEAKS = "doc_id bigint, item_id bigint, question_share double, answer boolean"
 def _scan(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = broadcast.value
-        get, kinds = index.vocabulary.get, [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            lists = [words(t) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((get(w, -1) for x in lists for w in x), np.int64, int(sizes.sum()))
-            d, i, n = search(index, flat, np.repeat(np.arange(len(lists)), sizes))
+            texts = batch.column(1).to_pylist()
+            hashes, sizes = word_hashes([plain(t) for t in texts])
+            d, i, n = search(index, index.terms(hashes), np.repeat(np.arange(len(texts)), sizes))
             if len(d):
-                text = {k: " ".join(["", *lists[k], ""]) for k in np.unique(d).tolist()}
+                text = {k: " ".join(["", *words(texts[k]), ""]) for k in np.unique(d).tolist()}
                 answer = [None if (a := index.answers[y]) is None else a in text[x] for x, y in zip(d.tolist(), i.tolist())]
                 columns = (batch.column(0).take(pa.array(d)), index.ids[i], n / index.runs[i], answer)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(columns, kinds)], ["doc_id", "item_id", "question_share", "answer"])
