@@ -14,7 +14,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Characters that are hashed at a time, about; a longer text is hashed alone.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 17
 _POWERS: dict[int, np.ndarray] = {}
 
 
