@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import lookup
-from millrace.workspace import materialise
+from millrace.workspace import materialise, release
 
 #: Modulus of the permutations and seed of their coefficients. Fixed values.
 PRIME, SEED = (1 << 61) - 1, 0xC0FFEE
@@ -65,8 +65,10 @@ def estimated_jaccard(x: Column, y: Column) -> Column:
 
 #: Members of a band that one task compares, about; larger bands are split into cells for pairs of parts.
 CELL = 4_000
-#: Rounds in which only the first member of a band is compared with the others.
-LEADER_ROUNDS = 2
+#: Rounds in which only the first member of a band is compared with the others; the first always, further ones while a band has more than WIDE members.
+LEADER_ROUNDS, WIDE = 2, 200
+#: Confirmed pairs that one task goes through at the end; more are settled in rounds first.
+LAST_PAIRS = 1_000_000
 
 
 def _compare(threshold: float, n: int):
@@ -99,13 +101,27 @@ def _compare(threshold: float, n: int):
     return run
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of at most LAST_PAIRS confirmed pairs (earlier, later), the texts that are dropped when they are gone through in order."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).sort_by([("a", "ascending"), ("b", "ascending")])
+    gone: dict = {}
+    for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
+        if a not in gone:
+            gone[b] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(gone), t.schema.field("a").type)], ["__o"])
+
+
 def dedup(docs: DataFrame, order: str, text: str, threshold: float = 0.85, n: int = 128, bands: int = 16, seed: int = SEED) -> DataFrame:
     """``order, kept``: a text is dropped if a kept earlier one shares a band with it and has an estimated similarity of ``threshold``.
 
     The result is that of going through the texts in order. Equal signatures are one text, the first. In two rounds, a text that
     is the first undecided one in all its bands is kept and compared with the others in its bands, which drops large groups of
     similar texts without listing their pairs. What is left in a band is compared within it, and only the pairs that are
-    confirmed come out; on these, in rounds, a text without an undecided earlier neighbour is kept and its later ones are dropped.
+    confirmed come out; on these, in rounds, a text without an undecided earlier neighbour is kept and its later ones are dropped,
+    until no more than a million pairs are left, which one task goes through in order.
     A band with many members is split into cells. ``order`` is unique, a number or a text; empty texts are all alike, so the first
     is kept.
     """
@@ -124,29 +140,37 @@ def dedup(docs: DataFrame, order: str, text: str, threshold: float = 0.85, n: in
     shared = all_bands.groupBy("band").count().where("count > 1").select("band")
     open_bands = materialise(all_bands.join(shared, "band"), "bands")
     dropped: list[DataFrame] = []
-    for _ in range(LEADER_ROUNDS):
+    for number in range(LEADER_ROUNDS):
+        if number and (open_bands.groupBy("band").count().agg(F.max("count")).first()[0] or 0) <= WIDE:
+            break
         first = open_bands.groupBy("band").agg(F.min("__o").alias("first"))
         led = lookup(open_bands, first, "band", "inner")
         lead = led.groupBy("__o").agg(F.bool_and(F.col("__o") == F.col("first")).alias("l")).where("l").select("__o")
         lead = materialise(lead, "kept")
-        near = materialise(led.where("__o != first").select("__o", "first").distinct().join(lead.select(F.col("__o").alias("first")), "first", "left_semi"), "near")
-        near = lookup(near, sigs.select(F.col("__o").alias("first"), F.col("sig").alias("a")), "first", "inner").join(sigs.select("__o", F.col("sig").alias("b")), "__o")
+        near_by = materialise(led.where("__o != first").select("__o", "first").distinct().join(lead.select(F.col("__o").alias("first")), "first", "left_semi"), "near")
+        near = lookup(near_by, sigs.select(F.col("__o").alias("first"), F.col("sig").alias("a")), "first", "inner").join(sigs.select("__o", F.col("sig").alias("b")), "__o")
         gone = materialise(near.where(estimated_jaccard(F.col("a"), F.col("b")) >= threshold).select("__o").distinct(), "dropped")
         dropped.append(gone)
-        open_bands = materialise(open_bands.join(lead.unionByName(gone), "__o", "left_anti"), "bands")
+        rest = materialise(open_bands.join(lead.unionByName(gone), "__o", "left_anti"), "bands")
+        release(open_bands, near_by)
+        open_bands = rest
     counted = open_bands.join(open_bands.groupBy("band").count().where("count > 1"), "band").withColumn("parts", F.ceil(F.col("count") / CELL).cast("int"))
     part = F.pmod(F.xxhash64("__o"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
     members = counted.select("__o", F.explode(cells).alias("c"), "band").select("__o", F.xxhash64("band", "c").alias("cell")).join(sigs, "__o")
     pairs = members.select("cell", "__o", "sig").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(threshold, n), f"a {kind}, b {kind}").distinct()
     edges = materialise(pairs, "edges")
-    while not edges.isEmpty():
+    while (n_pairs := edges.count()) > LAST_PAIRS:
         later = edges.select(F.col("b").alias("a")).distinct()
         gone = materialise(edges.join(later, "a", "left_anti").select(F.col("b").alias("__o")).distinct(), "dropped")
         dropped.append(gone)
         kept = edges.join(later, "a", "left_anti").select("a").distinct()
         out = gone.select(F.col("__o").alias("a")).unionByName(kept)
-        edges = materialise(edges.join(out, "a", "left_anti").join(gone.select(F.col("__o").alias("b")), "b", "left_anti"), "edges")
+        rest = materialise(edges.join(out, "a", "left_anti").join(gone.select(F.col("__o").alias("b")), "b", "left_anti"), "edges")
+        release(edges)
+        edges = rest
+    if n_pairs:
+        dropped.append(materialise(edges.coalesce(1).mapInArrow(_settle, f"__o {kind}"), "dropped"))
     gone = dropped[0]
     for x in dropped[1:]:
         gone = gone.unionByName(x)

@@ -15,6 +15,7 @@ from millrace.operators.skew import lookup
 from millrace.plans import corpus
 from millrace.sources import readers
 from millrace.sources.tables import table
+from millrace.workspace import materialise
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -172,6 +173,7 @@ t as (select source, sum(n) // 2 budget from d group by source)
 select source, doc_id, b as "before", least(n, budget - b)::bigint taken from c join t using (source) where b < budget and n > 0""")
 def token_budget_prefix(spark, d):
     docs = table(spark, d, "documents").where("source is not null").select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("bigint").alias("n"))
+    docs = materialise(docs, "sizes")  # words are counted once, for the budget and for the prefix
     half = docs.groupBy("source").agg(F.floor(F.sum("n") / 2).alias("budget"))
     return order.token_budget(docs.join(half, "source"), "source", "doc_id", F.col("n"), F.col("budget")).select("source", "doc_id", "before", "taken")
 
@@ -183,6 +185,7 @@ select source, doc_id, b as "before", least(n, budget - b)::bigint taken from c
 def token_budget_prefix_plain(spark, d):
     """``token_budget_prefix`` by the source's name: one budget and one sequence for all its spellings."""
     docs = table(spark, d, "documents").select("doc_id", key(F.col("source")).alias("source"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("bigint").alias("n")).where("source is not null")
+    docs = materialise(docs, "sizes")  # words are counted once, for the budget and for the prefix
     half = docs.groupBy("source").agg(F.floor(F.sum("n") / 2).alias("budget"))
     return order.token_budget(docs.join(half, "source"), "source", "doc_id", F.col("n"), F.col("budget")).select("source", "doc_id", "before", "taken")
 

@@ -131,7 +131,9 @@ def sequential(texts, threshold=0.85, n=128, bands=16):
     return kept
 
 
-def test_dedup_is_the_sequential_rule(spark):
+@pytest.mark.parametrize("last", [0, 10**6])
+def test_dedup_is_the_sequential_rule(spark, monkeypatch, last):
+    monkeypatch.setattr(dedup, "LAST_PAIRS", last)
     rng = random.Random(3)
     texts = ["", "", "one two", "One, two!", None]
     for _ in range(25):
