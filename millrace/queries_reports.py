@@ -338,6 +338,22 @@ def judge_agreement(spark, d):
     return a.select("n", F.round("correlation", 9).alias("correlation"), F.round("mean_difference", 9).alias("mean_difference"))
 
 
+@query("""with p as (select l_orderkey, count(*) n, count(*) filter (l_returnflag = 'R') c, max(l_linenumber::varchar) filter (l_returnflag = 'R') winner from lineitem group by 1), w as (select winner branch, count(*) wins from p where n = 2 and c = 1 group by 1)
+select branch, wins, max(wins) over ()::double / sum(wins) over () skew from w""")
+def branch_bias(spark, d):
+    """Which of two lines of an order alone is returned: a stand-in for branches, which outputs don't name."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("branch"), (F.col("l_returnflag") == "R").alias("correct"))
+    return pairs.branch_bias(lines, "l_orderkey", "branch")
+
+
+@query(f"with {GRADED}, p as (select g, any_value(spec) spec, count(*) n, count(*) filter (correct) c from (select marked.*, {_key('spec_id')} spec from marked join last using (output_id)) where g is not null group by g), o as (select spec, count(*) filter (n = 2) pairs, count(*) filter (n <> 2) dropped_incomplete, count(*) filter (n = 2 and c = 2) \"both\", count(*) filter (n = 2 and c = 1) one, count(*) filter (n = 2 and c = 0) neither from (select g, n, c, s.spec from p join (select g, {_key('spec_id')} spec, count(*) k from (select {_key('group_key')} g, spec_id from last) group by all) s using (g) where s.k = p.n) group by spec) select spec, pairs, dropped_incomplete, \"both\", one, neither, coalesce(\"both\"::double / nullif(pairs, 0), 0) grounded_rate from o")
+def spec_pair_outcomes(spark, d):
+    """Outcomes of pairs by specification, of the groups whose outputs name one and the same."""
+    g = q._graded(spark, d).select("correct", key(F.col("group_key")).alias("g"), key(F.col("spec_id")).alias("spec"))
+    one = g.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("spec", F.lit(""))).alias("k")).where("k = 1").select("g")
+    return pairs.outcomes(g.join(one, "g"), "g", by=["spec"])
+
+
 @query(f"with {q._LAST} select judge, output_id, score from (select *, row_number() over (partition by judge order by score, output_id) r from o where score >= 0) where r <= 8")
 def worst_scores(spark, d):
     """The eight worst replies by every judge."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.order import hash_rank
+from millrace.sources import files
 
 
 def tier_scan(documents: DataFrame, least: int, tier: str = "int_score", text: str = "text") -> DataFrame:
@@ -100,13 +100,14 @@ def probe_files(spark: SparkSession, glob: str, schema: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, folder: str, needs: str = "state.json") -> DataFrame:
     """``path, step`` of complete checkpoint folders "step_N"; the newest is the one with the greatest step."""
-    found = [(str(p), int(p.name.rsplit("_", 1)[1])) for p in Path(folder).glob("step_*") if p.name.rsplit("_", 1)[1].isdigit() and (p / needs).exists()]
+    named = [(p, p.rsplit("_", 1)[1]) for p in files.folders(f"{folder}/step_*")]
+    found = [(p, int(n)) for p, n in named if n.isascii() and n.isdigit() and files.exists(f"{p}/{needs}")]
     return spark.createDataFrame(found, "path string, step bigint")
 
 
 def load_json(path: str, known: set[str] | None = None) -> dict:
-    """A JSON document; keys that aren't known are left out."""
-    doc = json.loads(Path(path).read_text())
+    """A JSON document of the shared file system; keys that aren't known are left out."""
+    doc = json.loads(files.read_text(path))
     return doc if known is None else {k: v for k, v in doc.items() if k in known}
 
 

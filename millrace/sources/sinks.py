@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from millrace.sources import files
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -75,29 +74,18 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def write_json(doc: dict, path: str) -> None:
-    """A small document, replaced as a whole."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    t = p.with_name(f".{p.name}.{uuid.uuid4().hex}")
-    t.write_text(json.dumps(doc, ensure_ascii=False, indent=2, sort_keys=True))
-    os.replace(t, p)
-
-
-def restore_if_absent(spark: SparkSession, remote: str, local: str) -> bool:
-    """Copy a folder or file to where it is missing, under a name of its own first, so that a copy that breaks off is never taken for a whole one. Whether it was copied; an error if both are missing."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    here, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (local, remote))
-    fs, source = here.getFileSystem(conf), there.getFileSystem(conf)
-    if fs.exists(here):
+    """A small document in the shared file system, replaced as a whole."""
+    files.replace_text(path, json.dumps(doc, ensure_ascii=False, indent=2, sort_keys=True))
+
+
+def restore_if_absent(remote: str, local: str) -> bool:
+    """Copy a folder or file to where it is missing, verified. Whether it was copied; an error if both are missing."""
+    if files.exists(local):
         return False
-    if not source.exists(there):
+    if not files.exists(remote):
         raise FileNotFoundError(f"neither {local} nor {remote} is there")
-    part = jvm.org.apache.hadoop.fs.Path(f"{local}.part-{uuid.uuid4().hex}")
-    jvm.org.apache.hadoop.fs.FileUtil.copy(source, there, fs, part, False, conf)
-    if source.getContentSummary(there).getLength() != fs.getContentSummary(part).getLength():
-        fs.delete(part, True)
-        raise ShortWrite(f"{remote}: the copy is not as long")
-    return bool(fs.rename(part, here))
+    files.copy_whole(remote, local)
+    return True
 
 
 def write_diagnostics(report: dict[str, DataFrame], generations: DataFrame, root: str, most: int = 10_000) -> None:

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import render, stats
-from millrace.operators import checks, diagnose, plan
+from millrace.functions import jsonx, render, stats, text
+from millrace.operators import checks, diagnose, pairs, plan, validate
 from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
@@ -60,10 +60,10 @@ def test_partitions_of_other_values_are_not_read(spark, tmp_path):
 
 def test_restore_copies_what_is_missing(spark, tmp_path):
     spark.range(5).write.parquet(f"{tmp_path}/remote")
-    assert sinks.restore_if_absent(spark, f"{tmp_path}/remote", f"{tmp_path}/local") and spark.read.parquet(f"{tmp_path}/local").count() == 5
-    assert not sinks.restore_if_absent(spark, f"{tmp_path}/none", f"{tmp_path}/local")
+    assert sinks.restore_if_absent(f"{tmp_path}/remote", f"{tmp_path}/local") and spark.read.parquet(f"{tmp_path}/local").count() == 5
+    assert not sinks.restore_if_absent(f"{tmp_path}/none", f"{tmp_path}/local")
     with pytest.raises(FileNotFoundError):
-        sinks.restore_if_absent(spark, f"{tmp_path}/none", f"{tmp_path}/other")
+        sinks.restore_if_absent(f"{tmp_path}/none", f"{tmp_path}/other")
 
 
 def test_diagnostics_and_corpus_are_written_whole(spark, tmp_path):
@@ -99,3 +99,43 @@ def test_small_reports_and_peaks(spark):
     got = spark.createDataFrame([(x,) for x in peaks], "d string").select("d", stats.peak_tflops(F.col("d")).alias("p")).collect()
     assert {r.d: r.p for r in got} == peaks
     assert spark.range(1).select(render.changed_lines(F.lit("a\nb\nc"), F.lit("a\nx"))).first()[0] == [2, 3]
+
+
+def test_functions_of_one_column(spark):
+    one = lambda *c: spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).first()[:]
+    labels = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert one(stats.scored_tokens(labels(5, -100, 7, 8)), stats.scored_tokens(labels(5)), stats.scored_tokens(F.array().cast("array<int>"))) == (2, 0, 0)
+    assert one(render.with_end(labels(1, 2)), render.with_end(labels(), 9)) == ([1, 2, render.END], [9])
+    assert one(text.eta(F.lit(59)), text.eta(F.lit(3725)), text.eta(F.lit(61.9))) == ("0m 59s", "1h 02m", "1m 01s")
+    assert one(text.shortened(F.lit("abcdef"), 3), text.shortened(F.lit("abc"), 3), text.mentions(F.lit("use load_x now"), F.lit("load_x")), text.mentions(F.lit("use load_xy"), F.lit("load_x"))) == ("abc ...[truncated]", "abc", True, False)
+    assert one(jsonx.sorted_json(F.lit('{"b": 1, "a": [2]}')), jsonx.sorted_json(F.lit("no json")), jsonx.extract_object(F.lit('Here: {"a": "}"} rest'))) == ('{"a":[2],"b":1}', "no json", '{"a": "}"}')
+    assert one(jsonx.diff_paths(F.lit('{"a/b": {"~": 1}}'), F.lit('{"a/b": {"~": 2}}'))) == (["/a~1b/~0"],)
+    assert one(stats.mfu(F.lit(1e6), F.lit(1e8), F.lit(1200.0)), stats.mfu(F.lit(1.0), F.lit(1.0), F.lit(0.0))) == (50.0, None)
+    slots = [r[0] for r in spark.range(400).select(render.slot(F.col("id"))).collect()]
+    assert 150 < sum(slots) < 250 and slots == [r[0] for r in spark.range(400).repartition(3).orderBy("id").select(render.slot(F.col("id"))).collect()]
+
+
+def test_generations_from_outside_in(spark):
+    tools = '[{"name":"f","parameters":{"properties":{"n":{"type":"integer"}},"required":["n"]}}]'
+    think = "<think>long enough to count</think>"
+    cases = [("", "no_think"), ("<think>short</think>", "short_think"), (think, "no_response"), (think + "<response>[]</response>", "empty_calls"), (think + '<response>[{"name":"g"}]</response>', "undefined_tool"), (think + '<response>[{"name":"f"}]</response>', "missing_required_arg"), (think + '<response>[{"name":"f","arguments":{"n":1}}]</response>', None), (None, "no_think")]
+    d = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string")
+    assert {r.i: r.f for r in d.select("i", validate.generation_fault(F.col("x"), F.lit(tools)).alias("f")).collect()} == {i: f for i, (_, f) in enumerate(cases)}
+
+
+def test_places_names_and_workers(spark):
+    at = sinks.Layout("s3://bucket/run")
+    assert (at.source("web"), at.shard("x"), at.combined, at.split("val"), at.stats) == ("s3://bucket/run/sources/web", "s3://bucket/run/raw/category=x", "s3://bucket/run/combined", "s3://bucket/run/windows/split=val", "s3://bucket/run/stats.json")
+    got = [{r.id for r in readers.worker_shard(spark.range(10), "id", 3, w).collect()} for w in range(3)]
+    assert set.union(*got) == set(range(10)) and sum(map(len, got)) == 10 and got[1] == {1, 4, 7}
+
+
+def test_documents_are_replaced_whole(spark, tmp_path):
+    for n in (1, 2):
+        sinks.write_json({"n": n, "é": "x"}, f"{tmp_path}/a/b.json")
+    assert readers.load_json(f"{tmp_path}/a/b.json") == {"n": 2, "é": "x"} and [p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith(".crc")] == ["b.json"]
+
+
+def test_branches_that_win_alone(spark, rows):
+    g = spark.createDataFrame([("x", "a", True), ("x", "b", False), ("y", "a", True), ("y", "b", False), ("z", "b", True), ("z", "a", False), ("w", "a", True), ("w", "b", True), ("v", "a", True)], "g string, branch string, correct boolean")
+    assert rows(pairs.branch_bias(g, "g", "branch")) == [("a", 2, 2 / 3), ("b", 1, 2 / 3)]
