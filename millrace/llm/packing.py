@@ -35,25 +35,59 @@ class Packing:
 
 
 def _knapsack(size: np.ndarray, price: np.ndarray, most: np.ndarray, units: int) -> np.ndarray:
-    """How many of each class fill ``units`` at the highest price, none more often than ``most``; dynamic programming over room."""
-    best = np.zeros(units + 1)
+    """How many of each class fill ``units`` at the highest price, none more often than ``most``; dynamic programming over room.
+
+    The classes in order of price for their room, the last one in part, give a bound; filled in that order they give a
+    packing. What lies between both says of a class how many a better packing can hold at most, or at least: those are
+    settled before, so that few classes are left to the program.
+    """
+    out = np.zeros(len(size), np.int64)
+    k = np.flatnonzero((most > 0) & (price > 0) & (size <= units))
+    if not len(k):
+        return out
+    density = price[k] / size[k]
+    k = k[np.argsort(-density, kind="stable")]
+    w, v = size[k], price[k]
+    top = np.minimum(most[k], units // w)
+    density, room = v / w, np.cumsum(w * top)
+    last = int(np.searchsorted(room, units))
+    if last == len(k):  # all fit
+        out[k] = top
+        return out
+    before = int(room[last - 1]) if last else 0
+    filled, left = float((v * top)[:last].sum()), units - before
+    bound = filled + left * density[last]
+    for x, y, n in zip(w[last:].tolist(), v[last:].tolist(), top[last:].tolist()):
+        if x <= left:
+            m = min(n, left // x)
+            filled += m * y
+            left -= m * x
+            if not left:
+                break
+    loss, gap = np.abs(density - density[last]) * w, max(0.0, bound - filled) + 1e-12 * bound
+    free = np.where(loss * top > gap, np.floor(gap / np.maximum(loss, 1e-300)), top)
+    free = np.minimum(free, top).astype(np.int64)
+    fixed = np.where(np.arange(len(k)) < last, top - free, 0)
+    out[k] = fixed
+    rest = units - int((fixed * w).sum())
+    best = np.zeros(rest + 1)
     steps = []
-    for k in np.flatnonzero((most > 0) & (price > 0)).tolist():
-        w, left, lot = int(size[k]), int(min(most[k], units // size[k])), 1
-        while left > 0:
-            lot = min(lot, left)
-            left -= lot
-            r, v = w * lot, price[k] * lot
-            if r <= units:
-                more = best[:-r] + v
+    for i in np.flatnonzero(free).tolist():
+        x, n, lot = int(w[i]), min(int(free[i]), rest // int(w[i])), 1
+        while n > 0:
+            lot = min(lot, n)
+            n -= lot
+            r, worth = x * lot, v[i] * lot
+            if r <= rest:
+                more = best[: rest + 1 - r] + worth
                 take = more > best[r:]
                 np.maximum(best[r:], more, out=best[r:])
-                steps.append((k, lot, r, take))
+                steps.append((i, lot, r, take))
             lot *= 2
-    out, at = np.zeros(len(size), np.int64), units
-    for k, lot, r, take in reversed(steps):
+    at = rest
+    for i, lot, r, take in reversed(steps):
         if at >= r and take[at - r]:
-            out[k] += lot
+            out[k[i]] += lot
             at -= r
     return out
 
