@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.workspace import materialise
 
 #: Size classes of the program and units in which the knapsack measures a container.
-CLASSES, UNITS = 256, 2048
+CLASSES, UNITS = 512, 4096
 #: Part of a class's items by which one step of the program covers it at most, and how strongly coverage lowers a price.
 STEP, RATE = 0.1, 3.0
 #: Units of the check of the bound; up to this capacity it is that of the sizes themselves.
@@ -303,11 +303,11 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
 
     ``size`` is the number of tokens, by default UTF-8 bytes of ``text``. A document larger than the capacity is cut into full
     containers and a rest, which is an item like the others; no other is cut. From a histogram of sizes, at most one row per
-    size up to the capacity, one task for each capacity solves the configuration linear program over some 256 size classes by
+    size up to the capacity, one task for each capacity solves the configuration linear program over some 512 size classes by
     multiplicative weights with knapsack pricing, rounds it, packs the rest of at most 30,000 items one by one at their own sizes,
     the largest first where it leaves the least room, and gives a lower bound: the worth of all items at dual prices for
     which no container is worth more than 1. Its work does not grow with the documents. An item is taken for the largest of
-    its class; with at most 256 different sizes each is its own class. Items are numbered within their size, in shards by a hash of their id so that
+    its class; with at most 512 different sizes each is its own class. Items are numbered within their size, in shards by a hash of their id so that
     a size that a third of all documents have is no single task, and an item's number says which container's place it gets.
     Patterns are fewer than classes / STEP, with the rest a megabyte or two for each capacity; they are what is broadcast, for
     16 capacities at a time.
