@@ -487,10 +487,10 @@ def reply_pair_outcomes(spark, d):
 
 @query()
 def think_coupling(spark, d):
-    """Whether the reasoning names the tool that is called."""
-    g = _graded(spark, d).where("fault is null")
-    tools = F.array(*[F.lit(x) for x in ("load_recipe", "read_machine", "plan_study", "start_machine", "buy_stock", "sell_stock", "link_up", "rank_power", "show_machines", "halt_machine")])
-    return diagnose.coupling(g, text.think(F.col("response")), tools, F.get(jsonx.call_names(text.response(F.col("response"))), F.lit(0)))
+    """Whether the reasoning names the tool that is called, of all tools that requests offer; outputs don't name their own."""
+    tools = table(spark, d, "requests").select(F.explode("tools").alias("t")).agg(F.collect_set("t").alias("offered"))  # names of tools, a small table
+    g = _graded(spark, d).where("fault is null").crossJoin(F.broadcast(tools))
+    return diagnose.coupling(g, text.think(F.col("response")), F.col("offered"), F.get(jsonx.call_names(text.response(F.col("response"))), F.lit(0)))
 
 
 _LAST = f"""o as (select output_id, arg_max(score, loaded_utc) score, any_value({_key('category')}) category, any_value({_key('subtype')}) subtype, any_value({_key('group_key')}) g, any_value(run_label) run_label, any_value(judge) judge from outputs group by 1)"""

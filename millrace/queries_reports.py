@@ -84,6 +84,8 @@ select count(*) filter (n = 2) pairs, count(*) filter (n <> 2) dropped_incomplet
 v as (select category, subtype, count(*) n, count(*) filter (fault is null) w, count(*) filter (correct) c from marked group by all)
 select coalesce(t.category, v.category) category, coalesce(t.subtype, v.subtype) subtype, coalesce(t.n, 0) n_train, coalesce(t.n, 0)::double / sum(t.n) over () train_share, coalesce(v.n, 0) n_val, w::double / v.n well_formed_rate, c::double / v.n correct_rate, 0::bigint n_train_graded, null::double train_correct_rate, coalesce(v.n, 0) < 20 thin
 from t full join v on t.category = v.category and t.subtype = v.subtype""",
+    "think_coupling": f"""with {GRADED}, tools as (select distinct unnest(tools) t from requests), m as (select got_name, (select list(t) from tools where regexp_matches(th, '\\b' || t || '\\b')) named from marked where fault is null)
+select count(*) considered, count(*) filter (named[1] = got_name) agreed, count(*) filter (named[1] <> got_name) decoupled, count(*) filter (named[1] <> got_name)::double / nullif(count(*), 0) decoupled_rate from m where len(named) = 1""",
     "record_faults": f"with {FAULTS} select * from faults",
     "reject_tally": f"with {FAULTS} select category, fault, count(*) n, count(*) / (sum(count(*)) over (partition by category))::double share from faults group by category, fault",
     "prompts": """select id, loaded_utc, '<|system|>' || chr(10) || coalesce(system_prompt, '') || coalesce(chr(10) || '<state>' || state || '</state>', '') || chr(10) || coalesce(array_to_string(list_transform(case when list_position([t.role for t in turns], 'assistant') > 0 then turns[1:list_position([t.role for t in turns], 'assistant') - 1] else turns end,
