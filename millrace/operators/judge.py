@@ -28,6 +28,24 @@ def calibration_targets(graded: DataFrame, order: list, n: int) -> DataFrame:
     return balanced_halves(graded.where("fault is null"), "correct", order, n)
 
 
+def run_probes(rows: DataFrame, prompt: str, ask: Callable[[str], str]) -> DataFrame:
+    """``rows`` with ``reply`` and ``error``: what a probe answers, or the kind and text of its failure; one failure ends no other probe."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(p) -> tuple[str | None, str | None]:
+            try:
+                return ask(p), None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+
+        for pdf in parts:
+            got = [one(p) for p in pdf[prompt]]
+            yield pdf.assign(reply=pd.Series([r for r, _ in got], dtype=object, index=pdf.index), error=pd.Series([e for _, e in got], dtype=object, index=pdf.index))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{fields}, reply string, error string")
+
+
 def ask_all(rows: DataFrame, prompt: str, ask: Callable[[str], str], parse: Column) -> DataFrame:
     """``rows`` with ``reply`` and ``score``: a failure of one call is that row's null reply, never the end of the job or a 0.
 

@@ -80,6 +80,11 @@ def window_cut(df: DataFrame, by: list[str], order: str, tokens: Column, size: i
     return cut_at(prefix_sum(d, by, order, F.col("__n"), "__at", block), size)
 
 
+def window_count(df: DataFrame, by: list[str], tokens: Column, size: int) -> DataFrame:
+    """``by, windows``: whole windows of ``size`` tokens in every sequence; null lengths count 0."""
+    return df.groupBy(*by).agg(F.floor(F.coalesce(F.sum(tokens), F.lit(0)) / size).alias("windows"))
+
+
 def cut_at(d: DataFrame, size: int) -> DataFrame:
     """The cut of ``window_cut`` for rows whose place ``__at`` in their sequence and length ``__n`` are known."""
     d = d.where("__n > 0").withColumn("window_id", F.explode(F.sequence(F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__n") - 1) / size))))

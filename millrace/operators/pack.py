@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.workspace import materialise
+
 
 def fill(lengths: np.ndarray, size: int, chunk: int = 256, most_open: int = 128) -> np.ndarray:
     """The window of every item, items in the order given.
@@ -44,6 +46,7 @@ def bin_pack(items: DataFrame, key: str, length: str, size: int, seed: int = 0,
     are left out; ``refused`` lists them.
     """
     d = items.where((F.col(length) >= 0) & (F.col(length) <= size)).select(F.col(key), F.col(length).cast("bigint").alias(length)).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    d = materialise(d, "items")  # lengths are computed once, for the number of groups and for the packing
     groups = max(1, -(-d.count() // group))
     d = d.withColumn("pack_group", F.pmod(F.col("__h"), F.lit(groups)).cast("int"))
 

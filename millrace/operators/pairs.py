@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.jsonx import diff_paths
+
 
 def pivot_pairs(rows: DataFrame, pair: str, branch: str, order: str, fields: list[str]) -> DataFrame:
     """``pair, a, b``: structs of ``fields`` of the branches; of repeated branches the last one counts. A missing branch is null."""
@@ -20,6 +22,17 @@ def integrity(rows: DataFrame, pair: str, branch: str) -> DataFrame:
     return g.where(F.col("branches") != F.array(F.lit("a"), F.lit("b")))
 
 
+#: Faults of a whole pair, in the order in which they are looked for. Fixed values.
+PAIR_FAULTS = ("swap_memory_diverged", "swap_state_diverged", "swap_request_diverged")
+
+
+def swap_checks() -> list[tuple[Column, str]]:
+    """Checks for ``pair_faults`` on branches with ``memory, state, request``: memory and request must be the same text, the states must differ at one place and no other."""
+    same = lambda field: F.col(f"a.{field}").eqNullSafe(F.col(f"b.{field}"))
+    one = F.size(diff_paths(F.col("a.state"), F.col("b.state"))) == 1
+    return list(zip((~same("memory"), ~one, ~same("request")), PAIR_FAULTS))
+
+
 def pair_faults(pairs: DataFrame, checks: list[tuple[Column, str]], branch_fault: dict[str, Column]) -> DataFrame:
     """``pairs`` with ``fault_a`` and ``fault_b``: a fault of the pair is both branches', a branch's own drops its innocent partner too."""
     missing = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing_branch")

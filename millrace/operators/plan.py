@@ -53,6 +53,12 @@ def sampled_tools(pool: Column, key: Column, n: Column, include: Column | None =
     return F.array_sort(F.concat(must, F.slice(drawn, F.lit(1), F.greatest(n - F.size(must), F.lit(0)))))
 
 
+def capacity(trials: DataFrame, by: str, fingerprint: Column, most: float = 0.5) -> DataFrame:
+    """``by, trials, distinct, saturated``: how many different documents trials of a specification gave; it is saturated if they are fewer than ``most`` of the trials, so that more trials give little."""
+    g = trials.groupBy(by).agg(F.count(F.lit(1)).alias("trials"), F.count_distinct(fingerprint).alias("distinct"))
+    return g.withColumn("saturated", F.col("distinct") < F.col("trials") * most)
+
+
 def histogram(requests: DataFrame, category: str, subtype: str) -> DataFrame:
     """``category, subtype, n, share``: of every subtype, of every category (subtype null) and of all (both null); ``level`` 0, 1 and 2."""
     g = requests.rollup(category, subtype).agg(F.count(F.lit(1)).alias("n"), (F.grouping(category) + F.grouping(subtype)).alias("level"))

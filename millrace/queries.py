@@ -223,7 +223,7 @@ def recipe_allocation(spark, d):
 @query()
 def interleave_slots(spark, d):
     """Windows of all sources in one order in which any stretch has the sources' shares."""
-    w = table(spark, d, "documents").groupBy(key(F.col("source")).alias("source")).agg(F.floor(F.sum("n_chars") / 4096).alias("windows"))
+    w = order.window_count(table(spark, d, "documents").withColumn("source", key(F.col("source"))), ["source"], F.col("n_chars"), 4096)
     return mixture.interleave(w.where("source is not null"))
 
 

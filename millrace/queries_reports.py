@@ -61,15 +61,18 @@ faults as (select shape.id, shape.loaded_utc, category, case when len(r) % 2 = 0
 
 _TREE = """select pair_id, side, j.key, j.type, j.atom, j.fullkey, j.path, case j.type when 'ARRAY' then json_array_length(state, j.fullkey) end n from (select pair_id, 'a' side, a state from p union all select pair_id, 'b', b from p) s, json_tree(s.state) j"""
 
+_PAIRS_SQL = """p as (select pair_id, arg_max(state, loaded_utc) filter (branch = 'a') a, arg_max(state, loaded_utc) filter (branch = 'b') b, (arg_max({'m': memory}, loaded_utc) filter (branch = 'a')).m ma, (arg_max({'m': memory}, loaded_utc) filter (branch = 'b')).m mb, (arg_max({'r': request}, loaded_utc) filter (branch = 'a')).r ra, (arg_max({'r': request}, loaded_utc) filter (branch = 'b')).r rb, count(*) filter (branch = 'a') na, count(*) filter (branch = 'b') nb from requests where pair_id is not null group by 1 having na > 0 and nb > 0)"""
+_DIFFS_OF = rf"""t as ({_TREE}), m as (select coalesce(x.pair_id, y.pair_id) pair_id, coalesce(x.fullkey, y.fullkey) fullkey, coalesce(x.path, y.path) path, x.type is not null and y.type is not null and ((x.type = 'OBJECT' and y.type = 'OBJECT') or (x.type = 'ARRAY' and y.type = 'ARRAY' and x.n = y.n)) is_open,
+  x.type is not null and y.type is not null and x.type not in ('OBJECT', 'ARRAY') and x.type = y.type and x.atom::varchar = y.atom::varchar same from (select * from t where side = 'a') x full join (select * from t where side = 'b') y on x.pair_id = y.pair_id and x.fullkey = y.fullkey),
+d as (select m.pair_id, replace(replace(regexp_replace(substr(m.fullkey, 2), '\[(\d+)\]', '.\1', 'g'), '"', ''), '.', '/') pointer from m left join m u on u.pair_id = m.pair_id and u.fullkey = m.path where not m.is_open and not coalesce(m.same, false) and (m.fullkey = '$' or u.is_open))
+select pair_id, coalesce(list_sort(list(pointer) filter (pointer is not null)), []) pointers from p left join d using (pair_id) group by 1"""
+_DIFFS = f"with {_DIFFS_OF}"
+
 q._SQL |= {
     "state_schema": r"""with s as (select row_number() over () r, state from requests where state is not null and json_valid(state)),
 l as (select distinct r, replace(replace(regexp_replace(substr(j.fullkey, 2), '\[\d+\]', '.#', 'g'), '"', ''), '.', '/') pointer from s, json_tree(s.state) j where j.type not in ('OBJECT', 'ARRAY') or j.value::varchar in ('{}', '[]'))
 select pointer, count(*) n from l group by 1""",
-    "branch_state_diff": rf"""with p as (select pair_id, arg_max(state, loaded_utc) filter (branch = 'a') a, arg_max(state, loaded_utc) filter (branch = 'b') b, count(*) filter (branch = 'a') na, count(*) filter (branch = 'b') nb from requests where pair_id is not null group by 1 having na > 0 and nb > 0),
-t as ({_TREE}), m as (select coalesce(x.pair_id, y.pair_id) pair_id, coalesce(x.fullkey, y.fullkey) fullkey, coalesce(x.path, y.path) path, x.type is not null and y.type is not null and ((x.type = 'OBJECT' and y.type = 'OBJECT') or (x.type = 'ARRAY' and y.type = 'ARRAY' and x.n = y.n)) is_open,
-  x.type is not null and y.type is not null and x.type not in ('OBJECT', 'ARRAY') and x.type = y.type and x.atom::varchar = y.atom::varchar same from (select * from t where side = 'a') x full join (select * from t where side = 'b') y on x.pair_id = y.pair_id and x.fullkey = y.fullkey),
-d as (select m.pair_id, replace(replace(regexp_replace(substr(m.fullkey, 2), '\[(\d+)\]', '.\1', 'g'), '"', ''), '.', '/') pointer from m left join m u on u.pair_id = m.pair_id and u.fullkey = m.path where not m.is_open and not coalesce(m.same, false) and (m.fullkey = '$' or u.is_open))
-select pair_id, coalesce(list_sort(list(pointer) filter (pointer is not null)), []) pointers from p left join d using (pair_id) group by 1""",
+    "branch_state_diff": f"with {_PAIRS_SQL}, {_DIFFS_OF}",
     "canonical_replies": rf"""with r as (select output_id, loaded_utc, {_list(_between('response', 'response'))} calls, regexp_extract(response, '\[.*\]', 0, 's') f from outputs)
 select output_id, loaded_utc, case when calls is not null then list_transform(calls, lambda c: {_signature('c')}) end calls, case when f <> '' and json_valid(f) and json_type(f::json, '$[0].name') is not null then f end "first" from r""",
     "graded_replies": f"with {GRADED} select output_id, fault, correct from marked",
@@ -466,6 +469,25 @@ def pointer_values(spark, d):
     return r.select("id", at(jsonx.pointer_get, "/machines/0/id").alias("first"), at(jsonx.pointer_exists, "/stock").alias("has_stock"), at(jsonx.pointer_exists, "/machines/999").alias("beyond"))
 
 
+@query(rf"""with {_PAIRS_SQL}, n as (select pair_id, len(pointers) n from ({_DIFFS})), f as (select p.pair_id, case when ma is distinct from mb then 'swap_memory_diverged' when n.n <> 1 then 'swap_state_diverged' when ra is distinct from rb then 'swap_request_diverged' end f, a, b
+  from p join n using (pair_id))
+select pair_id, 'a' branch, coalesce(f, case when not json_valid(a) then 'not_json' end, case when not json_valid(b) then 'partner_failed' end) fault from f union all select pair_id, 'b', coalesce(f, case when not json_valid(b) then 'not_json' end, case when not json_valid(a) then 'partner_failed' end) from f""")
+def pair_verdicts(spark, d):
+    """Every branch's fault, in the fixed order of faults of pairs; a branch whose partner fails is refused too."""
+    p = pairs.pivot_pairs(table(spark, d, "requests"), "pair_id", "branch", "loaded_utc", ["state", "memory", "request"]).where("a is not null and b is not null")
+    own = {x: F.when(F.try_parse_json(F.col(f"{x}.state")).isNull() & F.col(f"{x}.state").isNotNull(), "not_json") for x in "ab"}
+    f = pairs.pair_faults(p, pairs.swap_checks(), own)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("branch"), F.col(f"fault_{x}").alias("fault")) for x in "ab"]))
+    return f.select("pair_id", each.alias("e")).select("pair_id", "e.*")
+
+
+@query(rf"""select {_key('subtype')} subtype, count(*) trials, count(distinct regexp_replace(seed_topic, '\bb_\d+\b', '<id>', 'g')) "distinct", count(distinct regexp_replace(seed_topic, '\bb_\d+\b', '<id>', 'g')) < count(*) * 0.5 saturated from requests group by 1""")
+def distinct_capacity(spark, d):
+    """Different seeds, ids aside, among the requests of every subtype."""
+    r = table(spark, d, "requests").select(key(F.col("subtype")).alias("subtype"), text.without_ids(F.col("seed_topic")).alias("seed"))
+    return plan.capacity(r, "subtype", F.col("seed"))
+
+
 # Checks and whole graphs
 
 

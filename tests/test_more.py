@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import support
 from millrace.functions import jsonx, render, stats, text
-from millrace.operators import checks, diagnose, pairs, plan, validate
+from millrace.operators import checks, diagnose, judge, pairs, plan, validate
 from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
@@ -139,3 +140,30 @@ def test_documents_are_replaced_whole(spark, tmp_path):
 def test_branches_that_win_alone(spark, rows):
     g = spark.createDataFrame([("x", "a", True), ("x", "b", False), ("y", "a", True), ("y", "b", False), ("z", "b", True), ("z", "a", False), ("w", "a", True), ("w", "b", True), ("v", "a", True)], "g string, branch string, correct boolean")
     assert rows(pairs.branch_bias(g, "g", "branch")) == [("a", 2, 2 / 3), ("b", 1, 2 / 3)]
+
+
+def test_versions_outside_their_window():
+    windows = {"spark": ">=4.0,<5", "frame": ">=2"}
+    support.require(windows, {"spark": "4.1.2", "frame": "2.0"})
+    assert set(support.outside(windows, {"spark": "5.0", "frame": None})) == {"spark", "frame"}
+    with pytest.raises(support.Unsupported, match='frame is missing: install "frame>=2"; spark 3.5 is outside'):
+        support.require(windows, {"spark": "3.5"})
+    assert support.outside({"pyspark": ">=4", "no-such-package": ">=1"}).keys() == {"no-such-package"}
+
+
+def test_probes_keep_their_errors(spark):
+    def ask(p):
+        if p == "bad":
+            raise KeyError("gone")
+        return p.upper()
+
+    d = spark.createDataFrame([(1, "x"), (2, "bad"), (3, "y")], "i int, prompt string")
+    assert {r.i: (r.reply, r.error) for r in judge.run_probes(d, "prompt", ask).collect()} == {1: ("X", None), 2: (None, "KeyError: 'gone'"), 3: ("Y", None)}
+
+
+def test_pairs_differ_in_the_state_alone(spark):
+    row = lambda p, b, s, m="m", r="r": (p, b, 1, s, m, r)
+    data = [row("ok", "a", '{"x":1,"y":2}'), row("ok", "b", '{"x":3,"y":2}'), row("mem", "a", '{"x":1}', "m1"), row("mem", "b", '{"x":1}', "m2"), row("same", "a", '{"x":1}'), row("same", "b", '{"x":1}'), row("two", "a", '{"x":1,"y":2}'), row("two", "b", '{"x":2,"y":1}'), row("req", "a", '{"x":1}', r="p"), row("req", "b", '{"x":2}', r="q"), row("half", "a", '{"x":1}')]
+    p = pairs.pivot_pairs(spark.createDataFrame(data, "p string, branch string, at int, state string, memory string, request string"), "p", "branch", "at", ["state", "memory", "request"])
+    f = pairs.pair_faults(p, pairs.swap_checks(), {x: F.lit(None).cast("string") for x in "ab"})
+    assert {r.p: r.fault_a for r in f.collect()} == {"ok": None, "mem": "swap_memory_diverged", "same": "swap_state_diverged", "two": "swap_state_diverged", "req": "swap_request_diverged", "half": "missing_branch"}
