@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import render, text
+from millrace.functions import jsonx, render, text
 from millrace.operators import dedup, diagnose, mixture, order, pack, pairs, split, validate
-from millrace.sources import readers
+from millrace.sources import readers, sinks
+from millrace.workspace import materialise
 
 
 @dataclass(frozen=True)
@@ -88,8 +89,58 @@ def training(examples: DataFrame, group: str, ctx: int, fraction: float = 0.05,
     return Training(done.select("id", "g", "n", "split"), dropped, packed)
 
 
-def evaluation(outputs: DataFrame, train: DataFrame) -> dict[str, DataFrame]:
-    """The reports on graded replies: ``outputs`` has ``output_id, response, expected, category, subtype, group_key``, ``train`` the cells."""
+def examples_of_shard(records: DataFrame, paired: dict[str, bool], bounds: tuple[int, int], order: str = "loaded_utc") -> tuple[DataFrame, DataFrame]:
+    """``examples`` and ``refused`` (id, category, fault) of a shard of records, by two roads.
+
+    ``records``: ``id, category, turns, tools, state, memory``, for pairs also ``pair_id, branch, request``. Records of an unpaired category are
+    checked one by one; branches of a paired one together, both or neither being an example. Categories that ``paired``
+    doesn't know are refused.
+    """
+    known = F.col("category").isin(list(paired))
+    is_paired = F.col("category").isin([c for c, p in paired.items() if p])
+    alone = records.where(known & ~is_paired)
+    alone = validate.with_record_fault(alone, "fault", turns=F.col("turns"), tools=F.col("tools"), state=F.col("state"), memory=F.col("memory"), bounds=tuple(F.lit(b) for b in bounds), final_answer=F.lit(False), needs_state=F.lit(False), needs_memory=F.lit(False))
+    p = pairs.pivot_pairs(records.where(is_paired), "pair_id", "branch", order, ["id", "category", "turns", "tools", "state", "memory", "request"])
+    own = {x: F.when(~F.coalesce(validate.well_ordered(F.col(f"{x}.turns")), F.lit(False)), "bad_turn_order") for x in "ab"}
+    both = pairs.pair_faults(p, pairs.swap_checks(), own)
+    each = F.explode(F.array(*[F.struct(F.col(x).alias("r"), F.col(f"fault_{x}").alias("fault")) for x in "ab"]))
+    both = both.select(each.alias("e")).where("e.r is not null").select("e.r.*", "e.fault")
+    columns = ["id", "category", "turns", "tools", "state", "memory", "fault"]
+    checked = alone.select(columns).unionByName(both.select(columns))
+    unknown = records.where(~F.coalesce(known, F.lit(False))).select("id", "category", F.lit("unknown_category").alias("fault"))
+    good = checked.where("fault is null")
+    examples = good.select("id", "category", render.record_example(F.col("turns"), F.col("memory")).alias("example"), "turns", "state")
+    return examples, checked.where("fault is not null").select("id", "category", "fault").unionByName(unknown)
+
+
+def pack_split(examples: DataFrame, split: str, ctx: int, root: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A split's examples ``id, turns, system_prompt, state`` encoded, packed, laid out and written under ``root``: ``report`` and ``refused``. An empty split is an error."""
+    coded = render.labelled(render.segments(F.col("turns"), F.col("system_prompt"), F.col("state")))
+    items = examples.select("id", coded.alias("c")).select("id", F.col("c.ids").alias("ids"), F.transform("c.labels", lambda x: (x != render.IGNORE).cast("tinyint")).alias("mask"), F.size("c.ids").cast("bigint").alias("n"))
+    packed = materialise(pack.bin_pack(items.select("id", "n"), "id", "n", ctx, seed), "packed")
+    if packed.isEmpty():
+        raise ValueError(f"split {split!r} has no windows")
+    windows = pack.lay_out(packed.join(items.drop("n"), "id"), "ids", "mask", ctx, render.PAD)
+    sinks.write_verified(windows, f"{root}/windows/split={split}")
+    return pack.pack_stats(packed, "n", ctx).withColumn("split", F.lit(split)), pack.refused(items, "id", "n", ctx)
+
+
+def evaluation(outputs: DataFrame, train: DataFrame, tools: DataFrame | None = None, kept: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The reports on graded replies: ``outputs`` has ``output_id, response, expected, category, subtype, group_key``, ``train`` the cells.
+
+    With ``tools``, names in a column ``tool``, reasoning is set against calls; with ``kept`` (``category, fingerprint, kept``) there is a section
+    on duplicates of the corpus.
+    """
     g = validate.graded(outputs, "response", "expected")
+    reply = text.response(F.col("response"))
+    first = lambda c: F.get(c, F.lit(0))
+    calls = g.withColumns({"want_name": first(jsonx.call_names("expected")), "got_name": first(jsonx.call_names(reply)), "want": first(jsonx.canonical_calls("expected")), "got": first(jsonx.canonical_calls(reply))})
     cells = diagnose.cell_report(train, g, g.where("false"), ["category", "subtype"])
-    return {"rates": diagnose.rates(g, "category"), "faults": validate.tally(g, "fault", "output_id"), "pairs": pairs.outcomes(g, "group_key"), "cells": cells, "volume": diagnose.volume_correlation(cells), "gap": diagnose.memorisation_gap(cells)}
+    out = {"rates": diagnose.rates(g, "category"), "faults": validate.tally(g, "fault", "output_id"), "pairs": pairs.outcomes(g, "group_key"), "cells": cells, "volume": diagnose.volume_correlation(cells), "gap": diagnose.memorisation_gap(cells)}
+    out |= {"worst": diagnose.worst_cells(cells, ["category", "subtype"]), "calls": diagnose.default_call(calls, "got_name", "output_id"), "confusion": diagnose.confusion(calls, "want_name", "got_name", "output_id"), "exact": diagnose.exact_metrics(calls, "got", "want", "got_name", "want_name", "group_key")}
+    if tools is not None:
+        offered = F.broadcast(tools.agg(F.collect_set("tool").alias("offered")))  # names of tools, a small table
+        out["coupling"] = diagnose.coupling(calls.where("fault is null").crossJoin(offered), text.think(F.col("response")), F.col("offered"), F.col("got_name"))
+    if kept is not None:
+        out["duplicates"] = diagnose.dedup_forensics(kept, ["category"], F.col("fingerprint"), F.col("kept"))
+    return out

@@ -42,8 +42,18 @@ class ShortWrite(RuntimeError):
 def write_verified(df: DataFrame, path: str, key_total: str | None = None, mode: str = "error") -> int:
     """Write a table through Spark's commit protocol and read it back: the number of rows, and the sum of a column, must be those written.
 
-    ``df`` should be deterministic; it is counted while it is written, not computed twice.
+    ``df`` should be deterministic; it is counted while it is written, not computed twice. What comes back short is written once
+    more, then it is an error.
     """
+    try:
+        return _write_once(df, path, key_total, mode)
+    except ShortWrite:
+        if mode == "append":
+            raise
+        return _write_once(df, path, key_total, "overwrite")
+
+
+def _write_once(df: DataFrame, path: str, key_total: str | None, mode: str) -> int:
     observed = Observation()
     what = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(key_total) if key_total else F.lit(0), F.lit(0)).cast("double").alias("s") if key_total else F.max(F.lit(0.0)).alias("s")]
     df.observe(observed, *what).write.mode(mode).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import support
 from millrace.functions import jsonx, render, stats, text
 from millrace.operators import checks, diagnose, judge, pairs, plan, validate
+from millrace.plans import corpus
 from millrace.sources import readers, sinks
 from millrace.streaming import ingest
 
@@ -167,3 +168,41 @@ def test_pairs_differ_in_the_state_alone(spark):
     p = pairs.pivot_pairs(spark.createDataFrame(data, "p string, branch string, at int, state string, memory string, request string"), "p", "branch", "at", ["state", "memory", "request"])
     f = pairs.pair_faults(p, pairs.swap_checks(), {x: F.lit(None).cast("string") for x in "ab"})
     assert {r.p: r.fault_a for r in f.collect()} == {"ok": None, "mem": "swap_memory_diverged", "same": "swap_state_diverged", "two": "swap_state_diverged", "req": "swap_request_diverged", "half": "missing_branch"}
+
+
+RECORD = "id string, category string, turns array<struct<role:string,text:string,think:string,calls:string,result:string>>, tools string, state string, memory string, pair_id string, branch string, request string, loaded_utc int, system_prompt string"
+
+
+def record(i, category, state=None, pair=None, branch=None, think="a reason that is long enough", memory=None):
+    turns = [("user", f" say {i} ", None, None, None), ("assistant", None, think, '[{"name":"f","arguments":{"n":1}}]', None)]
+    return (i, category, turns, '[{"name":"f","parameters":["n"]}]', state, memory, pair, branch, "r", 1, "sys")
+
+
+def test_shards_become_examples_by_two_roads(spark, rows):
+    data = [record("u1", "x"), record("u2", "x", think="short"), record("u3", "x", state="{}"), record("q", "other"), record("n", None)]
+    data += [record("pa", "p", '{"k":1}', "p1", "a", memory='{"recent":["m"]}'), record("pb", "p", '{"k":2}', "p1", "b", memory='{"recent":["m"]}'), record("sa", "p", '{"k":1}', "p2", "a"), record("sb", "p", '{"k":1}', "p2", "b"), record("ha", "p", '{"k":1}', "p3", "a")]
+    good, bad = corpus.examples_of_shard(spark.createDataFrame(data, RECORD), {"x": False, "p": True}, (1, 3))
+    assert {r.id: (r.example.user, r.example.memory) for r in good.collect()} == {"u1": ("say u1", None), "pa": ("say pa", " 1. m"), "pb": ("say pb", " 1. m")}
+    assert {r.id: r.fault for r in bad.collect()} == {"u2": "empty_think", "u3": "state_unexpected", "q": "unknown_category", "n": "unknown_category", "sa": "swap_state_diverged", "sb": "swap_state_diverged", "ha": "missing_branch"}
+
+
+def test_a_split_is_packed_and_written(spark, tmp_path):
+    d = spark.createDataFrame([record(f"e{i}", "x", think="because " * (1 + i % 20)) for i in range(40)] + [record("long", "x", think="w " * 900)], RECORD)
+    report, refused = corpus.pack_split(d, "val", 600, str(tmp_path))
+    r, w = report.first(), spark.read.parquet(f"{tmp_path}/windows").collect()
+    assert r["items"] == 40 and r.windows == len(w) and r.utilisation > 0.7 and [tuple(x) for x in refused.select("id", "drop_reason").collect()] == [("long", "too_long")]
+    assert all(len(x.ids) == len(x["mask"]) == 600 and x.split == "val" for x in w)
+    said = "".join(bytes(i for i, m in zip(x.ids, x["mask"]) if m).decode() for x in w)
+    assert said.count("<think>because ") == 40 and "say e1" not in said
+    with pytest.raises(ValueError, match="'test' has no windows"):
+        corpus.pack_split(d.where("false"), "test", 600, str(tmp_path))
+
+
+def test_evaluation_has_all_sections(spark):
+    reply = "<think>use f because it fits</think><response>[{\"name\":\"%s\",\"arguments\":{}}]</response>"
+    o = spark.createDataFrame([(i, reply % ("f" if i % 2 else "g"), '[{"name":"f","arguments":{}}]', "c", "s", f"g{i // 2}") for i in range(8)], "output_id bigint, response string, expected string, category string, subtype string, group_key string")
+    kept = spark.createDataFrame([("c", "x", True), ("c", "x", False), ("c", "y", True)], "category string, fingerprint string, kept boolean")
+    e = corpus.evaluation(o, o.select("category", "subtype"), spark.createDataFrame([("f",), ("g",)], "tool string"), kept)
+    assert tuple(e["exact"].first()) == (8, 1.0, 0.5, 0.5, 4, 0, 0) and e["coupling"].first().decoupled == 4 and e["duplicates"].first().largest_cluster == 2
+    assert {(r.want_name, r.got_name, r.n) for r in e["confusion"].collect()} == {("f", "f", 4), ("f", "g", 4)} and [tuple(r) for r in e["calls"].collect()] == [("g", 4, 1.0)]
+    assert set(corpus.evaluation(o, o.select("category", "subtype"))) == {"rates", "faults", "pairs", "cells", "volume", "gap", "worst", "calls", "confusion", "exact"}
