@@ -6,10 +6,13 @@ the order into blocks instead: block totals are summed first, a small table, and
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def _named(columns: list[str] | None) -> list[str]:
@@ -42,6 +45,8 @@ def _equal(keys: list[str]) -> Column:
 
 #: Rows in one block of an order, about, and blocks at most.
 BLOCK_ROWS, MOST_BLOCKS = 65_536, 1_000
+#: A run is long from this part of all rows on; so there are fewer long runs.
+LONG_PARTS = 200
 
 
 def block_of(df: DataFrame, order: Column, rows: int | None = None) -> Column:
@@ -142,38 +147,62 @@ def group_prefix(groups: DataFrame, size: str, target: Column, key: str, seed: i
 def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.05, out: str = "ema", rows: int | None = None) -> DataFrame:
     """An exponential moving average along each run, seeded with its first value: ``run, order, value, ema``.
 
-    A run is cut into blocks of its order. A block's rows are averaged as if nothing came before; what comes before adds the
-    last average of the blocks before, fading with every row. So a long run is many tasks' work, and only its blocks, one row
-    each, come together. Rows without a value are left out, equal orders are taken by value, a null run is a run.
+    Spark sorts the runs; a task goes through its sorted rows once, run after run, in Arrow batches. Only a run with more than
+    ``rows`` rows (BLOCK_ROWS) and 1/LONG_PARTS of all is cut into blocks of its order: a block is first averaged as if nothing
+    came before, what comes before adds the last average of the blocks before, fading with every row, and from there on the
+    block is averaged again. So a long run is many tasks' work, and only its blocks, one row each, come together. Rows without
+    a value are left out, null orders come last, equal orders are taken by value, a null run is a run.
     """
-    kinds = dict(df.dtypes)
     d = df.where(F.col(value).isNotNull()).select(run, order, F.col(value).cast("double").alias(value))
-    d = d.withColumn("__block", F.coalesce(block_of(d, F.col(order), rows), F.lit(-1)))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, value], kind="stable", na_position="first")
-        v, n = pdf[value].to_numpy(), len(pdf)
-        own, last = np.empty(n), 0.0
-        for i in range(n):
-            last += alpha * (v[i] - last)
-            own[i] = last
-        return pdf.assign(__own=own, __fade=(1 - alpha) ** np.arange(1, n + 1), __first=v[0], __n=n, __at=np.arange(1, n + 1))
-
-    fields = f"`{run}` {kinds[run]}, `{order}` {kinds[order]}, `{value}` double, __block int"
-    local = d.groupBy(run, "__block").applyInPandas(inside, f"{fields}, __own double, __fade double, __first double, __n bigint, __at bigint")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block")
-        before, start = pdf["__first"].iloc[0], []
-        for own, fade in zip(pdf["__own"], pdf["__fade"]):
-            start.append(before)
-            before = own + fade * before
-        return pdf.assign(__start=start)[[run, "__block", "__start"]]
-
-    ends = local.where("__at = __n").groupBy(run).applyInPandas(chain, f"`{run}` {kinds[run]}, __block int, __start double")  # a row per block
-    ends = ends.select(F.col(run).alias("__run"), F.col("__block").alias("__b"), "__start")
-    done = local.join(ends, F.col(run).eqNullSafe(F.col("__run")) & (F.col("__block") == F.col("__b")))
-    return done.select(run, order, value, (F.col("__own") + F.col("__fade") * F.col("__start")).alias(out))
+    after, n = F.lit(None).cast("double"), d.count()
+    limit = max(rows or BLOCK_ROWS, n // LONG_PARTS)
+    long = [r[0] for r in d.groupBy(run).count().where(F.col("count") > limit).select(run).collect()] if n > limit else []
+    d = d.withColumn("__block", F.lit(0))
+    if long:
+        is_long = F.coalesce(F.col(run).isin([r for r in long if r is not None]) | (F.col(run).isNull() & F.lit(None in long)), F.lit(False))
+        d = d.withColumn("__block", F.when(is_long, F.coalesce(block_of(d.where(is_long), F.col(order), rows), F.lit(MOST_BLOCKS))).otherwise(0))
+        starts = _block_starts(d.where(is_long), run, order, value, alpha).select(F.col(run).alias("__run"), F.col("__block").alias("__b"), "__start")
+        d = d.join(F.broadcast(starts), F.col(run).eqNullSafe(F.col("__run")) & (F.col("__block") == F.col("__b")), "left")  # fewer than LONG_PARTS runs, a row per block
+        after = F.col("__start")
+    return _averaged(d, run, order, value, after, alpha, out).select(run, order, value, out)
+
+
+def _averaged(d: DataFrame, run: str, order: str, value: str, after: Column, alpha: float, out: str) -> DataFrame:
+    """``out`` for the rows of each run and ``__block``, with their place ``__at``; ``after`` is the average before the block, null where the run begins."""
+    w = Window.partitionBy(run, "__block").orderBy(F.col(order).asc_nulls_last(), value)
+    d = d.select(run, order, value, "__block", F.row_number().over(w).alias("__at"), after.alias("__after"))  # the window leaves its rows sorted
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            averages, before = [], b.column(5)
+            for i, (v, at) in enumerate(zip(*(b.column(k).to_numpy().tolist() for k in (2, 4)))):
+                if at == 1:
+                    last = before[i].as_py()
+                last = v if last is None else last + alpha * (v - last)
+                averages.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(averages, pa.float64())], [*b.schema.names[:5], out])
+
+    return d.mapInArrow(fold, StructType([*d.schema.fields[:5], StructField(out, DoubleType())]))
+
+
+def _block_starts(d: DataFrame, run: str, order: str, value: str, alpha: float) -> DataFrame:
+    """``run, __block, __start``: the average before each ``__block`` of the runs, null for a run's first."""
+    own = _averaged(d, run, order, value, F.lit(0.0), alpha, "__own")
+    ends = own.groupBy(run, "__block").agg(F.max_by("__own", "__at").alias("__own"), F.max("__at").alias("__n"), F.min_by(value, "__at").alias("__first"))
+    ends = ends.withColumn("__at", F.row_number().over(Window.partitionBy(run).orderBy("__block")))  # a row per block
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            starts = []
+            for own, n, first, at in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                starts.append(None if at == 1 else before)
+                before = first if at == 1 else before
+                before = own + (1 - alpha) ** n * before if math.isfinite(before) else math.nan
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(starts, pa.float64())], [*b.schema.names[:2], "__start"])
+
+    return ends.mapInArrow(chain, StructType([*ends.schema.fields[:2], StructField("__start", DoubleType())]))
 
 
 def rebalance(df: DataFrame, cell: list[str], key: Column, cap: int, exempt: Column, seed: int = 0) -> DataFrame:

@@ -679,7 +679,8 @@ def running_distinct(spark, d):
 @query()
 def ema(spark, d):
     """A moving average of values by user."""
-    return order.ema(table(spark, d, "events"), "user_id", "event_id", "value").withColumn("ema", F.round("ema", 9))
+    e = order.ema(table(spark, d, "events"), "user_id", "event_id", "value")
+    return e.withColumn("ema", F.round(F.col("ema") * 1e9) / 1e9)  # in doubles, as in DuckDB: the first averages often end in half of the last digit
 
 
 @query("select user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) step_us from events")

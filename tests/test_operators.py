@@ -268,6 +268,42 @@ def test_moving_average_in_blocks_is_the_plain_one(spark):
             assert (step, v) == (s, x) and abs(e - last) < 1e-9
 
 
+def averages(data, alpha):
+    """By run: its rows in order, null orders last, and the plain moving average beside them."""
+    out = {}
+    for run, step, v in sorted((r for r in data if r[2] is not None), key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        rows = out.setdefault(run, [])
+        rows.append((step, v, rows[-1][2] + alpha * (v - rows[-1][2]) if rows else v))
+    return {run: sorted(rows, key=repr) for run, rows in out.items()}
+
+
+def test_moving_averages_of_short_runs_are_exact_and_take_no_call_for_each(spark):
+    rng = random.Random(14)
+    data = [(rng.choice([None, *range(250)]), rng.choice([None, *range(90)]), rng.choice([None, rng.random() * 9])) for _ in range(3_000)]
+    e = order.ema(spark.createDataFrame(data, "run bigint, step int, v double"), "run", "step", "v", rows=100)
+    assert "FlatMapGroups" not in e._jdf.queryExecution().toString()
+    got = {}
+    for r in e.collect():
+        got.setdefault(r.run, []).append((r.step, r.v, r.ema))
+    assert {run: sorted(rows, key=repr) for run, rows in got.items()} == averages(data, 0.05)
+
+
+def test_long_runs_beside_short_ones_are_averaged_in_blocks(spark):
+    rng = random.Random(15)
+    data = [(rng.choice(["hot", "hot", "hot", None, "inf", str(i % 100)]), rng.choice([None, *range(500)]), rng.random() * 9) for i in range(2_000)]
+    data += [("inf", 250, float("inf")), ("alone", 1, 2.0)]
+    e = order.ema(spark.createDataFrame(data, "run string, step int, v double"), "run", "step", "v", 0.2, rows=60)
+    assert "BroadcastHashJoin" in e._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in e.collect():
+        got.setdefault(r.run, []).append((r.step, r.v, r.ema))
+    want = averages(data, 0.2)
+    assert got.keys() == want.keys()
+    for run, rows in got.items():
+        for (s, v, x), (step, value, y) in zip(sorted(rows, key=repr), want[run], strict=True):
+            assert (s, v) == (step, value) and (x == y or abs(x - y) < 1e-12 or x != x and y != y)
+
+
 def test_ranks_in_blocks_are_the_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(order, "BLOCK_ROWS", 30)
     rng = random.Random(5)
